@@ -187,36 +187,43 @@ def trial_defaults(criteria: DataFrame, rule: Rule, trials: DataFrame | None = N
         F.count_if(inc).alias("n_inc"), F.count_if(~inc).alias("n_exc"),
         F.coalesce(F.sum(F.when(inc, w)), F.lit(0.0)).alias("w_inc"),
         F.coalesce(F.sum(F.when(inc & absent, w)), F.lit(0.0)).alias("w_inc_absent"),
+        F.count_if(inc & absent).alias("n_inc_absent"),
         F.coalesce(F.sum(F.when(~inc & absent, w)), F.lit(0.0)).alias("w_exc_absent"),
+        F.count_if(~inc & absent).alias("n_exc_absent"),
         F.reverse(F.array_sort(F.collect_list(F.when(~inc & absent, F.struct(w.alias("w"), F.col("criterion_idx").alias("idx"))))))
         .alias("absent_exc"),
     )
     trials = criteria.select("trial_id").distinct() if trials is None else trials.select("trial_id")
-    zero = {"n_inc": 0, "n_exc": 0, "w_inc": 0.0, "w_inc_absent": 0.0, "w_exc_absent": 0.0}
+    zero = {"n_inc": 0, "n_exc": 0, "w_inc": 0.0, "w_inc_absent": 0.0, "w_exc_absent": 0.0, "n_inc_absent": 0, "n_exc_absent": 0}
     df = trials.join(per_trial, "trial_id", "left").fillna(zero)
     none = F.lit(0.0)
     return df.select(
         *df.columns,
-        _inclusion(rule, none).alias("m_inc"),
-        _exclusion(rule, none, none, none, F.lit(0), F.coalesce(F.get("absent_exc", 0)["w"], none)).alias("m_exc"),
+        _inclusion(rule, F.col("w_inc_absent")).alias("m_inc"),
+        _exclusion(rule, none, F.col("w_exc_absent"), none, F.lit(0), F.coalesce(F.get("absent_exc", 0)["w"], none)).alias("m_exc"),
     )
 
 
-def _inclusion(rule: Rule, gain: Column) -> Column:
-    """M_inc from what the hits add to the no-hit baseline; vacuous trials accept everybody."""
-    total = F.col("w_inc_absent") + gain
+def _still_absent(side: str) -> Column:
+    """Weight of the absence criteria without a hit; exactly 0 when all of them were hit."""
+    return F.when(F.col(f"{side}_gone_n") == F.col(f"n_{side}_absent"), 0.0).otherwise(
+        F.col(f"w_{side}_absent") - F.col(f"{side}_gone_w"))
+
+
+def _inclusion(rule: Rule, total: Column) -> Column:
+    """M_inc from the summed weighted scores; vacuous trials accept everybody."""
     if rule.inclusion == "mean":
         return F.when(F.col("n_inc") == 0, 1.0).otherwise(F.try_divide(total, F.col("n_inc")))
     return F.when(F.col("w_inc") <= 0, 1.0).otherwise(F.try_divide(total, F.col("w_inc")))
 
 
-def _exclusion(rule: Rule, best: Column, gain: Column, exp_sum: Column, n_hits: Column, absent_best: Column,
+def _exclusion(rule: Rule, best: Column, total: Column, exp_sum: Column, n_hits: Column, absent_best: Column,
                weighted_exp: Column | None = None) -> Column:
     if rule.exclusion == "max":
         return F.greatest(best, absent_best)
     if rule.exclusion == "mean":
         return F.when(F.col("n_exc") == 0, 0.0).otherwise(
-            F.try_divide(F.col("w_exc_absent") + gain, F.col("n_exc")))
+            F.try_divide(total, F.col("n_exc")))
     if weighted_exp is None:
         return F.lit(0.0)
     return F.coalesce(F.try_divide(weighted_exp, exp_sum + F.col("n_exc") - n_hits), F.lit(0.0))
@@ -230,16 +237,19 @@ def aggregate_pairs(hits: DataFrame, defaults: DataFrame, rule: Rule,
     them before the shuffle.
     """
     inc, w, s, absent = F.col("is_inclusion"), F.col("severity_weight"), F.col("s"), F.col("kind") == "absence"
-    # A hit on an absence criterion takes its baseline contribution away.
-    delta = F.when(absent, -w).otherwise(w * s)
     boosted = F.exp(s / F.lit(temperature))
     zero = F.lit(0.0)
+
+    def total(cond: Column, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, value)), zero)
+
+    # A hit on an absence criterion scores 0 and takes its weight out of the baseline.
     agg = hits.groupBy("patient_id", "trial_id").agg(
-        F.coalesce(F.sum(F.when(inc, delta)), zero).alias("inc_gain"),
-        F.coalesce(F.sum(F.when(~inc, delta)), zero).alias("exc_gain"),
+        total(inc, w * s).alias("inc_sum"), total(~inc, w * s).alias("exc_sum"),
+        total(inc & absent, w).alias("inc_gone_w"), F.count_if(inc & absent).alias("inc_gone_n"),
+        total(~inc & absent, w).alias("exc_gone_w"), F.count_if(~inc & absent).alias("exc_gone_n"),
         F.coalesce(F.max(F.when(~inc, w * s)), zero).alias("exc_best"),
-        F.coalesce(F.sum(F.when(~inc, boosted)), zero).alias("exc_exp"),
-        F.coalesce(F.sum(F.when(~inc, boosted * s)), zero).alias("exc_wexp"),
+        total(~inc, boosted).alias("exc_exp"), total(~inc, boosted * s).alias("exc_wexp"),
         F.count_if(~inc).alias("exc_hits"),
         F.collect_set(F.when(~inc & absent, F.col("criterion_idx"))).alias("exc_present"),
     )
@@ -249,8 +259,8 @@ def aggregate_pairs(hits: DataFrame, defaults: DataFrame, rule: Rule,
     salt = default_salt(hits.sparkSession) if salt is None else salt
     return salted_join(agg, base, ["trial_id"], salt, ["patient_id"]).select(
         "patient_id", "trial_id",
-        _inclusion(rule, F.col("inc_gain")).alias("m_inc"),
-        _exclusion(rule, F.col("exc_best"), F.col("exc_gain"), F.col("exc_exp"), F.col("exc_hits"), absent_best,
+        _inclusion(rule, _still_absent("inc") + F.col("inc_sum")).alias("m_inc"),
+        _exclusion(rule, F.col("exc_best"), _still_absent("exc") + F.col("exc_sum"), F.col("exc_exp"), F.col("exc_hits"), absent_best,
                    F.col("exc_wexp")).alias("m_exc"),
     )
 

@@ -150,10 +150,13 @@ def k_folds(trials: DataFrame, k: int, seed: int, key: str = "trial_id") -> Data
     return shuffled_position(trials.select(key).distinct(), [key], seed).select(key, (F.col("pos") % k).alias("fold"))
 
 
-def prefix_split(trials: DataFrame, seq: str = "seq", fraction: float = 0.8) -> DataFrame:
-    """First ``fraction`` of the rows in file order are train, the others eval."""
+def prefix_split(trials: DataFrame, seq: str = "seq", fraction: float = 0.8, bins: Column | None = None) -> DataFrame:
+    """First ``fraction`` of the rows in file order are train, the others eval.
+
+    ``bins``: coarse, non-decreasing function of ``seq``; by default blocks of a numeric ``seq``.
+    """
     n = trials.agg(F.count("*")).scalar()
-    ranked = position(trials, [seq], F.floor(F.col(seq) / 4096)).withColumn("_n", n)
+    ranked = position(trials, [seq], F.floor(F.col(seq) / 4096) if bins is None else bins).withColumn("_n", n)
     return ranked.withColumn("split", F.when(F.col("pos") < F.floor(F.col("_n") * fraction), "train").otherwise("eval")).drop("pos", "_n")
 
 

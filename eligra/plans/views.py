@@ -94,7 +94,9 @@ def with_views(body: str, ctes: dict[str, str] | None = None) -> str:
     visit(body)
     if not order:
         return body
-    return "with " + ",\n".join(f"{n} as ({known[n]})" for n in order) + "\n" + body
+    ctes = "with " + ",\n".join(f"{n} as ({known[n]})" for n in order)
+    own = re.match(r"\s*with\s", body)
+    return f"{ctes},\n{body[own.end():]}" if own else f"{ctes}\n{body}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

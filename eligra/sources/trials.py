@@ -110,7 +110,7 @@ def read_structured(spark: SparkSession, paths: list[str] | str, keep: str = "fi
     union: DataFrame | None = None
     for i, path in enumerate([paths] if isinstance(paths, str) else paths):
         df = spark.read.schema(schemas.schema(schemas.TRIAL_RECORD)).option("multiLine", multi_line).json(path)
-        df = df.withColumn("seq", F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("row")))
+        df = df.withColumn("seq", F.struct(F.lit(i).alias("_file"), F.monotonically_increasing_id().alias("_row")))
         union = df if union is None else union.unionByName(df)
     return structured_trials(union, keep, coerce_types)
 
@@ -130,7 +130,8 @@ def nest_criteria(trials: DataFrame, criteria: DataFrame) -> DataFrame:
 
 def write_trials(trials: DataFrame, out_dir: str, fraction: float = 0.8, fmt: str = "json", mode: str = "overwrite") -> None:
     """Trials split in file order into train and eval, one partition folder each, as JSON or Parquet."""
-    prefix_split(trials, "seq", fraction).write.mode(mode).partitionBy("split").format(fmt).save(out_dir)
+    bins = F.floor(F.col("seq._row") / 4096) if "struct" in dict(trials.dtypes)["seq"] else None
+    prefix_split(trials, "seq", fraction, bins).write.mode(mode).partitionBy("split").format(fmt).save(out_dir)
 
 
 def load_dataset(mode: str, readers: dict[str, callable]) -> dict[str, DataFrame]:
