@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eligra.functions.codes import NUMERIC_OPS, is_placeholder, is_resolved, normalize_code
@@ -25,6 +25,9 @@ STRICT_THRESHOLD = 0.5
 EXCLUSION_TEMPERATURE = 0.5
 ANCESTOR_SCORE = 0.8
 DESCENDANT_SCORE = 0.6
+# Absence exclusions of one trial that fit into the bit masks; see aggregate_pairs.
+MASK_BITS = 62
+MASK_WORDS = 4
 
 
 @dataclass(frozen=True)
@@ -106,7 +109,8 @@ def usable_criteria(criteria: DataFrame, rule: Rule) -> DataFrame:
     """Criteria a rule looks at, with ``lookup_type`` / ``lookup_code`` and how a hit is scored.
 
     kind: presence (a hit scores 1), absence (a hit scores 0, no hit scores 1), bound (a hit is
-    compared with the lab value) or zero (never scores).
+    compared with the lab value) or zero (never scores). absent_rank numbers the exclusion
+    criteria of a trial that fire on absence, heaviest first.
     """
     df = criteria
     if rule.drop == "placeholder":
@@ -129,7 +133,10 @@ def usable_criteria(criteria: DataFrame, rule: Rule) -> DataFrame:
         .otherwise("zero")
     )
     code = normalize_code(kind, F.col("entity_code")) if rule.normalize else F.col("entity_code")
-    return df.withColumn("lookup_type", lookup).withColumn("lookup_code", code).withColumn("kind", how)
+    df = df.withColumn("lookup_type", lookup).withColumn("lookup_code", code).withColumn("kind", how)
+    fires_absent = (F.col("kind") == "absence") & ~F.col("is_inclusion")
+    heaviest = Window.partitionBy("trial_id", fires_absent).orderBy(F.desc("severity_weight"), "criterion_idx")
+    return df.withColumn("absent_rank", F.when(fires_absent, F.row_number().over(heaviest) - 1))
 
 
 def expand_hierarchy(criteria: DataFrame, closure: DataFrame) -> DataFrame:
@@ -147,18 +154,19 @@ def expand_hierarchy(criteria: DataFrame, closure: DataFrame) -> DataFrame:
     return exact.unionByName(up).unionByName(down)
 
 
-def criterion_hits(criteria: DataFrame, codes: DataFrame, rule: Rule, closure: DataFrame | None = None,
+def criterion_hits(usable: DataFrame, codes: DataFrame, rule: Rule, closure: DataFrame | None = None,
                    salt: int | None = None, delta: float = 1.0) -> DataFrame:
     """One row per (patient, trial, criterion) whose code the patient carries, with score ``s``.
 
-    Codes carried by a large share of all patients are split over ``salt`` partitions.
+    usable: the result of ``usable_criteria``. Codes carried by a large share of all patients are
+    split over ``salt`` partitions.
     """
-    usable = usable_criteria(criteria, rule).where("kind <> 'zero'")
+    usable = usable.where("kind <> 'zero'")
     if closure is None:
         wide = usable.withColumn("match_code", F.col("lookup_code")).withColumn("code_score", F.lit(1.0))
     else:
         wide = expand_hierarchy(usable, closure)
-    wide = wide.select("trial_id", "criterion_idx", "is_inclusion", "severity_weight", "operator", "kind",
+    wide = wide.select("trial_id", "criterion_idx", "is_inclusion", "severity_weight", "operator", "kind", "absent_rank",
                        F.col("value").alias("bound"), "max_value", "code_score",
                        F.col("lookup_type").alias("entity_type"), F.col("match_code").alias("code"))
     salt = default_salt(codes.sparkSession) if salt is None else salt
@@ -168,20 +176,19 @@ def criterion_hits(criteria: DataFrame, codes: DataFrame, rule: Rule, closure: D
         .when(F.col("kind") == "absence", F.lit(0.0))
         .otherwise(lab_score(F.col("operator"), F.col("value"), F.col("bound"), F.col("max_value"), rule.flavour, delta))
     )
-    keys = ["patient_id", "trial_id", "criterion_idx", "is_inclusion", "severity_weight", "kind"]
+    keys = ["patient_id", "trial_id", "criterion_idx", "is_inclusion", "severity_weight", "kind", "absent_rank"]
     hits = hits.withColumn("s", score)
     if closure is None:
         return hits.select(*keys, "s")
     return hits.groupBy(*keys).agg(F.max("s").alias("s"))
 
 
-def trial_defaults(criteria: DataFrame, rule: Rule, trials: DataFrame | None = None) -> DataFrame:
-    """Criterion counts and weights per trial, and the scores of a patient without any hit.
+def trial_defaults(usable: DataFrame, trials: DataFrame, rule: Rule) -> DataFrame:
+    """Criterion counts and weights of ``trials``, and the scores of a patient without any hit.
 
     ``absent_exc`` lists the exclusion criteria that fire on absence, heaviest first; its length
     is bounded by the criteria of one trial.
     """
-    usable = usable_criteria(criteria, rule)
     inc, w, absent = F.col("is_inclusion"), F.col("severity_weight"), F.col("kind") == "absence"
     per_trial = usable.groupBy("trial_id").agg(
         F.count_if(inc).alias("n_inc"), F.count_if(~inc).alias("n_exc"),
@@ -190,12 +197,10 @@ def trial_defaults(criteria: DataFrame, rule: Rule, trials: DataFrame | None = N
         F.count_if(inc & absent).alias("n_inc_absent"),
         F.coalesce(F.sum(F.when(~inc & absent, w)), F.lit(0.0)).alias("w_exc_absent"),
         F.count_if(~inc & absent).alias("n_exc_absent"),
-        F.reverse(F.array_sort(F.collect_list(F.when(~inc & absent, F.struct(w.alias("w"), F.col("criterion_idx").alias("idx"))))))
-        .alias("absent_exc"),
+        F.array_sort(F.collect_list(F.when(~inc & absent, F.struct(F.col("absent_rank").alias("rank"), w.alias("w"))))).alias("absent_exc"),
     )
-    trials = criteria.select("trial_id").distinct() if trials is None else trials.select("trial_id")
     zero = {"n_inc": 0, "n_exc": 0, "w_inc": 0.0, "w_inc_absent": 0.0, "w_exc_absent": 0.0, "n_inc_absent": 0, "n_exc_absent": 0}
-    df = trials.join(per_trial, "trial_id", "left").fillna(zero)
+    df = trials.select("trial_id").join(per_trial, "trial_id", "left").fillna(zero)
     none = F.lit(0.0)
     return df.select(
         *df.columns,
@@ -230,15 +235,19 @@ def _exclusion(rule: Rule, best: Column, total: Column, exp_sum: Column, n_hits:
 
 
 def aggregate_pairs(hits: DataFrame, defaults: DataFrame, rule: Rule,
-                    temperature: float = EXCLUSION_TEMPERATURE, salt: int | None = None) -> DataFrame:
+                    temperature: float = EXCLUSION_TEMPERATURE, salt: int | None = None,
+                    mask_words: int = MASK_WORDS) -> DataFrame:
     """M_inc and M_exc of every pair with a hit.
 
-    All terms are sums, maxima and a set bounded by the criteria of one trial, so Spark combines
-    them before the shuffle.
+    All terms are sums, maxima and bit masks, so Spark combines them in a hash table before the
+    shuffle. The masks say which absence exclusions were hit, ``mask_words`` x 62 of them; a trial
+    with more raises an error that asks for more words instead of giving a wrong score.
     """
     inc, w, s, absent = F.col("is_inclusion"), F.col("severity_weight"), F.col("s"), F.col("kind") == "absence"
     boosted = F.exp(s / F.lit(temperature))
     zero = F.lit(0.0)
+    rank = F.col("absent_rank")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), rank % MASK_BITS)
 
     def total(cond: Column, value: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, value)), zero)
@@ -251,11 +260,18 @@ def aggregate_pairs(hits: DataFrame, defaults: DataFrame, rule: Rule,
         F.coalesce(F.max(F.when(~inc, w * s)), zero).alias("exc_best"),
         total(~inc, boosted).alias("exc_exp"), total(~inc, boosted * s).alias("exc_wexp"),
         F.count_if(~inc).alias("exc_hits"),
-        F.collect_set(F.when(~inc & absent, F.col("criterion_idx"))).alias("exc_present"),
+        *[F.coalesce(F.bit_or(F.when(rank.between(i * MASK_BITS, (i + 1) * MASK_BITS - 1), bit)), F.lit(0)).alias(f"exc_mask_{i}")
+          for i in range(mask_words)],
     )
     base = defaults.drop("m_inc", "m_exc")
-    remaining = F.filter("absent_exc", lambda c: ~F.array_contains(F.col("exc_present"), c["idx"]))
-    absent_best = F.coalesce(F.try_element_at(remaining, F.lit(1))["w"], zero)
+    masks = F.array(*[F.col(f"exc_mask_{i}") for i in range(mask_words)])
+    remaining = F.filter("absent_exc", lambda c: F.getbit(
+        F.element_at(masks, F.floor(c["rank"] / MASK_BITS).cast("int") + 1), c["rank"] % MASK_BITS) == 0)
+    too_wide = F.raise_error(F.lit(f"a trial has more than {mask_words * MASK_BITS} absence exclusions: raise mask_words")).cast("double")
+    absent_best = (
+        F.when(F.col("n_exc_absent") == 0, zero).when(F.col("n_exc_absent") > mask_words * MASK_BITS, too_wide)
+        .otherwise(F.coalesce(F.get(remaining, F.lit(0))["w"], zero))
+    )
     salt = default_salt(hits.sparkSession) if salt is None else salt
     return salted_join(agg, base, ["trial_id"], salt, ["patient_id"]).select(
         "patient_id", "trial_id",
@@ -269,8 +285,9 @@ def score_pairs(criteria: DataFrame, codes: DataFrame, rule: str | Rule = "L", c
                 salt: int | None = None, temperature: float = EXCLUSION_TEMPERATURE) -> PairScores:
     """Both pair scores under one rule, sparse."""
     rule = RULES[rule] if isinstance(rule, str) else rule
-    defaults = trial_defaults(criteria, rule)
-    hits = criterion_hits(criteria, codes, rule, closure, salt)
+    usable = usable_criteria(criteria, rule)
+    defaults = trial_defaults(usable, criteria.select("trial_id").distinct(), rule)
+    hits = criterion_hits(usable, codes, rule, closure, salt)
     pairs = aggregate_pairs(hits, defaults, rule, temperature, salt)
     return PairScores(pairs, defaults.select("trial_id", "n_inc", "n_exc", "m_inc", "m_exc"))
 
@@ -290,7 +307,7 @@ def strict_pairs(criteria: DataFrame, codes: DataFrame, threshold: float = STRIC
         criteria.select("trial_id").distinct().join(counts, "trial_id", "left").fillna({"n_inc": 0, "n_exc": 0})
         .withColumn("matched", F.when(F.col("n_inc") + F.col("n_exc") > 0, F.col("n_inc") == 0))
     )
-    hits = criterion_hits(criteria, codes, rule, closure, salt)
+    hits = criterion_hits(usable, codes, rule, closure, salt)
     met = F.col("s") >= threshold
     agg = hits.groupBy("patient_id", "trial_id").agg(
         F.count_if(inc & met).alias("n_met"), F.count_if(~inc & met).alias("n_fired"))

@@ -99,8 +99,16 @@ def with_views(body: str, ctes: dict[str, str] | None = None) -> str:
     return f"{ctes},\n{body[own.end():]}" if own else f"{ctes}\n{body}"
 
 
+_opened: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its footer is read once per session."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _opened:
+        _opened[key] = spark.read.parquet(path)
+    return _opened[key]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
