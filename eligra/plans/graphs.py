@@ -102,12 +102,15 @@ NEIGHBOR_SQL = """
 
 
 def _cosines(s, d):
-    """Every odd vector as a patient against the trial vectors with its label."""
-    v = Inputs(s, d).table("embeddings")
-    p = v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("patient_id"), F.col("embedding").alias("p"), "label")
-    t = v.where("vec_id % 2 = 0").select(F.col("vec_id").alias("trial_id"), F.col("embedding").alias("t"), "label")
-    df = p.join(t, "label").select("patient_id", "trial_id", vec.cosine(F.col("p"), F.col("t")).alias("cos"), vec.dot(F.col("p"), F.col("t")).alias("dot"),
-                                   vec.l2(F.col("p"), F.col("t")).alias("l2"))
+    """Similarity over a pair table: the vectors that the part and supplier of an order line point at."""
+    i = Inputs(s, d)
+    v = i.table("embeddings")
+    n = v.agg(F.count("*")).scalar()
+    pairs = i.table("lineitem").select((F.col("l_partkey") % n).alias("patient_id"), (F.col("l_suppkey") % n).alias("trial_id")).distinct()
+    side = lambda key, name: v.select(F.col("vec_id").alias(key), F.col("embedding").alias(name))
+    p, t = F.col("p"), F.col("t")
+    df = pairs.join(side("patient_id", "p"), "patient_id").join(side("trial_id", "t"), "trial_id").select(
+        "patient_id", "trial_id", vec.cosine(p, t).alias("cos"), vec.dot(p, t).alias("dot"), vec.l2(p, t).alias("l2"))
     return rounded(df, "cos", "dot", "l2", digits=4)
 
 
@@ -258,13 +261,19 @@ QUERIES = {
     "patient_trial_leaks": Query(_leak_guard, "select cast(0 as bigint) as n_leaks"),
     "neighbor_mean": Query(_neighbors("mean"), NEIGHBOR_SQL.format(w="1e0", q="max(d_in)")),
     "neighbor_symmetric": Query(_neighbors("sym"), NEIGHBOR_SQL.format(w="(1 / sqrt(d_out))", q="sqrt(max(d_in))")),
-    "edge_drop": Query(_edge_drop, None),
+    "edge_drop": Query(_edge_drop, _q("""
+        select relation, dst_type, count(*) as n_edges from (
+          select relation, dst_type, md5('9|' || relation || '|' || src || '|' || dst) as h from (
+            select case when is_inclusion then 'requires_inclusion' else 'requires_exclusion' end as relation, cast(trial_id as varchar) as src,
+              case when entity_type in ('diagnosis', 'lab', 'procedure', 'prescription', 'administrative') then entity_type else 'diagnosis' end as dst_type, entity_code as dst from criteria) e) t
+        where (cast(('0x' || substr(h, 1, 6)) as bigint) * 268435456e0 + cast(('0x' || substr(h, 7, 7)) as bigint)) / 4503599627370496e0 >= 0.15e0 group by 1, 2""")),
     "first_seen_index": Query(_first_seen, _q("""
         select entity_code, row_number() over (order by f, entity_code) - 1 as idx from (select entity_code, min(trial_id * 100 + criterion_idx) as f from criteria group by 1) t""")),
     "cosine_scores": Query(_cosines, f"""
-        select p.vec_id as patient_id, t.vec_id as trial_id, round({_COS.format(a='p.embedding', b='t.embedding')}, 4) as cos,
-          round(list_dot_product(cast(p.embedding as double[]), cast(t.embedding as double[])), 4) as dot, round(list_distance(cast(p.embedding as double[]), cast(t.embedding as double[])), 4) as l2
-        from embeddings p join embeddings t on p.label = t.label where p.vec_id % 2 = 1 and t.vec_id % 2 = 0"""),
+        select q.p as patient_id, q.t as trial_id, round({_COS.format(a='a.embedding', b='b.embedding')}, 4) as cos,
+          round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 4) as dot, round(list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])), 4) as l2
+        from (select distinct l_partkey % n as p, l_suppkey % n as t from lineitem, (select count(*) as n from embeddings) c) q
+        join embeddings a on a.vec_id = q.p join embeddings b on b.vec_id = q.t"""),
     "bifurcated_scores": Query(_bifurcated, f"""
         select p.vec_id, round({_COS.format(a='p.embedding', b='i.embedding')} - 0.5e0 * {_COS.format(a='p.embedding', b='e.embedding')}, 4) as score
         from embeddings p join embeddings i on i.vec_id + 1 = p.vec_id join embeddings e on e.vec_id + 2 = p.vec_id"""),
