@@ -17,7 +17,7 @@ HEADLINE = (
     "match_rule_label", "match_rule_engine", "match_strict", "eligibility_label", "label_stats", "topk_patients_per_trial",
     "coverage_rollup", "resolution_pivot", "comorbidity_edges", "dx_rx_bridge", "neighbor_mean", "visit_sequences",
     "roc_auc_pooled", "roc_auc_per_trial", "topk_metrics", "brier_ece", "split_quadrants", "bootstrap_ci",
-    "criteria_sections", "numeric_bounds", "parse_terms", "phrase_match", "tfidf",
+    "criteria_sections", "numeric_bounds", "parse_terms", "tfidf",
 )
 
 

@@ -16,6 +16,7 @@ from eligra.functions import lexicon as lex
 from eligra.functions import text as tx
 from eligra.functions.codes import stable_unknown
 from eligra.operators.phrases import best_phrases, fuzzy_medications
+from eligra.session import spread
 
 CONDITION_CODES_LIMIT = 400
 CONDITION_WEIGHT = 1.5
@@ -60,7 +61,7 @@ def criteria_lines(trials: DataFrame, dialect: str = "D") -> DataFrame:
         lines = F.when(F.length(tx.strip_spaces(text)) >= 10, lines).otherwise(F.array().cast("array<string>"))
     tagged = F.transform(lines, lambda s, i: F.struct(
         i.alias("pos"), s.alias("line"), _section_flag(F.lower(s), dialect).alias("flag")))
-    df = trials.select("trial_id", tagged.alias("_lines"))
+    df = spread(trials.select("trial_id", "eligibility_criteria")).select("trial_id", tagged.alias("_lines"))
     df = df.withColumn("_heads", F.filter("_lines", lambda e: e["flag"].isNotNull()))
     body = F.transform(
         F.filter("_lines", lambda e: e["flag"].isNull()),

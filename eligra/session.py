@@ -38,6 +38,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows with much work each (long texts) over all cores, when the input comes in fewer pieces than that.
+
+    A large input has more pieces than cores and is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def default_salt(spark: SparkSession) -> int:
     """How many ways a hot key is split: grows with the cluster, 1 (no salt) on a laptop."""
     return max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 16))
