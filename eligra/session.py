@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +25,24 @@ def local_session(app: str = "eligra", cores: int | str = "*", shuffle_partition
     return spark
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a session that
-    names none (tests, a laptop) gets a folder of its own.
+    A session that names none gets a folder of its own if all its tasks run in this process (tests, a laptop); on a
+    cluster that is an error, as executors share no disk.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from the written copy."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
