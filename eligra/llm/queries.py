@@ -6,18 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eligra.llm import simhash
+from eligra.llm import decontamination, mixing, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), owner_col="source", repo_col="lang", max_owners=3)
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (mixing.decide(_table(spark, sf_dir, "documents"), share=1.5, cap=2.0, weights=(3, 1, 2))
+            .select("doc_id", "size", "source_size", "target", "taken", "source", "copies"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, one row for each document and item; clean documents have none."""
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=13, same=0.8).drop("rid")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, distance=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_source_mix": op3_source_mix,
+    "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
 }
 
