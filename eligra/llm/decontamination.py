@@ -17,8 +17,7 @@ from eligra.session import materialize
 #: Token positions that count (1) and that may differ (0). Eight of twelve to fourteen words; no two shifts agree in many.
 MASKS = ("111011011011", "1101101001110001", "11100110010100011", "1110001011010011")
 TOKEN = regex.compile(r"\w+")
-#: Longest stretch of words sent with a hit on either side of it.
-FILTER_BITS = 24
+MOST_BITS = 27
 
 
 def hashed(text: str, known: dict[str, int]) -> np.ndarray:
@@ -167,14 +166,16 @@ def _verify(least: int, same: float):
     return check
 
 
-def _filter(spark: SparkSession, items: DataFrame, bits: int):
-    """Bitmap of the seeds' first ``bits`` bits: two megabytes at 24 however large the benchmark; a seed that is none passes by chance at times."""
-    spot = F.shiftrightunsigned(items["seed"], 64 - bits)
+def _filter(spark: SparkSession, items: DataFrame) -> tuple[object, int]:
+    """Bitmap of the first bits of all seeds, 64 slots for each seed but 16 megabytes at most, and its bits. A seed that is no
+    benchmark's passes by chance at times, more often for a very large benchmark; the join sorts that out."""
+    bits = min(MOST_BITS, max(16, int(items.count()).bit_length() + 6))
     table = np.zeros(1 << (bits - 3), np.uint8)
-    packed = items.select((spot / 8).cast("long").alias("byte"), F.shiftleft(F.lit(1), (spot % 8).cast("int")).alias("bit"))
+    packed = items.selectExpr(f"shiftrightunsigned(seed, {64 - bits}) as spot").selectExpr(
+        "cast(floor(spot / 8) as bigint) as byte", "shiftleft(1, cast(spot % 8 as int)) as bit")
     for r in packed.groupBy("byte").agg(F.expr("bit_or(bit)").alias("bit")).toLocalIterator():
         table[r["byte"]] = r["bit"]
-    return spark.sparkContext.broadcast(table.tobytes())
+    return spark.sparkContext.broadcast(table.tobytes()), bits
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -186,7 +187,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     words or more (all of a shorter item), begins and ends in equal words, and ``same`` of its words are equal. The longest
     one of a pair is returned. Items too short for a mask are matched whole, word for word.
 
-    A bitmap of fixed size, made of the benchmark's seeds, keeps other seeds of the documents from being shuffled. Texts of
+    A bitmap of bounded size, made of the benchmark's seeds, keeps other seeds of the documents from being shuffled. Texts of
     documents are not shuffled: hits carry the words around them. Null texts and texts without words have no row, null ids
     are kept, equal rows give one result, and empty tables give no rows. Other columns are not read.
     """
@@ -206,7 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     shorter = [r.n for r in full.select(F.size("item_words").alias("n")).where(F.col("n").between(1, max(map(len, MASKS)) - 1)).distinct().collect()]
     rows = texts(docs, id_col, text_col).select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("rid"), "text")
     hits = materialize(rows.mapInPandas(
-        _doc_hits(_filter(spark, items, FILTER_BITS), FILTER_BITS, max(1, size), sorted(shorter)),
+        _doc_hits(*_filter(spark, items), max(1, size), sorted(shorter)),
         "doc_id string, rid bigint, low int, words array<bigint>, place array<int>, seed array<bigint>").distinct())
     each = hits.select("doc_id", "rid", "low", F.inline(F.arrays_zip("place", "seed")))
     met = each.join(items, "seed").select("doc_id", "rid", "low", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
