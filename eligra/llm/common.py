@@ -40,20 +40,24 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, rows: int) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled training texts for each class, the same ones at every run: the lowest hashes of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, rows: int,
+                    chars: int) -> list[tuple[str, int]]:
+    """At most ``rows`` labelled texts for each class that ``train`` admits and ``chars`` characters bound, the lowest hashes of the id first.
 
-    Only ids are ranked; the texts of the chosen rows alone are read afterwards and come to the driver. A document labelled
-    twice takes its smallest label, rows of one id their smallest text.
+    The bound of the training set is these two figures. Only ids and lengths are ranked; the chosen texts alone are read again
+    and come to the driver. A document labelled twice takes its smallest label, rows of one id their smallest text.
     """
     marks = (labels.select(labels["doc_id"].alias("doc_id"), labels[label_col].cast("int").alias("label"))
-             .where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label")))
-    marks = marks.where(train)
+             .where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label")).where(train))
+    short = docs.where(F.length("text") <= chars).groupBy("doc_id").agg(F.count("*").alias("n"))
+    known = marks.join(short, "doc_id").select("doc_id", "label")
     chosen = None
     for label in (0, 1):
-        part = marks.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    picked = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    chosen = materialize(chosen)
+    picked = (docs.where(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id")
+              .groupBy("doc_id", "label").agg(F.min("text").alias("text")))
     return [(r.text, r.label) for r in sorted(picked.collect(), key=lambda r: r.doc_id)]
 
 

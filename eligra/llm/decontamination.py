@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eligra.llm.common import fresh, texts
@@ -57,22 +57,14 @@ def _item_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for item, text in zip(pdf["item_id"], pdf["text"]):
             words = hashed(text, known)
             for k, h in enumerate(seeds(words)):
-                rows += [(item, i, int(v)) for i, v in enumerate(h.view(np.int64))]
+                rows += [(item, i, int(v), len(words)) for i, v in enumerate(h.view(np.int64))]
             if len(words) < max(map(len, MASKS)):  # too short for some mask: its first words stand for the item
-                rows.append((item, 0, int(_short(words).view(np.int64)[0])) if len(words) else None)
-        yield pd.DataFrame([r for r in rows if r], columns=["item_id", "at", "seed"])
-
-
-def _short(words: np.ndarray) -> np.ndarray:
-    """Seed of an item below the masks' lengths: all of its words, in order."""
-    h = np.full(1, 0xC2B2AE3D27D4EB4F + len(words), np.uint64)
-    for w in words:
-        h = (h ^ w) * np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(32)
-    return h
+                rows += [(item, 0, int(v), len(words)) for v in _windows(words, len(words)).view(np.int64)] if len(words) else []
+        yield pd.DataFrame(rows, columns=["item_id", "at", "seed", "n"])
 
 
 def _windows(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each stretch of ``n`` words, all of which count: the seed of an item too short for the masks."""
     m = len(words) - n + 1
     if m < 1:
         return np.empty(0, np.uint64)
@@ -83,50 +75,54 @@ def _windows(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def _bits(bitmap: bytes, bits: int):
-    table = np.frombuffer(bitmap, np.uint8)
+def _bits(bitmap: bytes):
+    table, shift = np.frombuffer(bitmap, np.uint8), np.uint64(64 - (len(bitmap).bit_length() + 2))
 
     def hit(h: np.ndarray) -> np.ndarray:
-        k = (h >> np.uint64(64 - bits)).astype(np.int64)
-        return np.flatnonzero((table[k >> 3] >> (k & 7).astype(np.uint8)) & 1)
+        k = (h >> shift).astype(np.int64)
+        return ((table[k >> 3] >> (k & 7).astype(np.uint8)) & 1).astype(bool)
 
     return hit
 
 
-def _doc_hits(bitmap, bits: int, reach: int, short_lengths: list[int]):
-    """Places of a text whose seed may be one of a benchmark, with the words around each run of them."""
+def _doc_seeds(bitmap, short_lengths: list[int]):
+    """Places of a text whose seed may be one of a benchmark."""
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
-        hit = _bits(bitmap.value, bits)
+        hit = _bits(bitmap.value)
         for pdf in parts:
-            rows, size = [], 0
+            out = []
             for doc, rid, text in zip(pdf["doc_id"], pdf["rid"], pdf["text"]):
                 words = hashed(text, known)
-                found = [(p, h[p]) for h in seeds(words) + [_windows(words, n) for n in short_lengths] if len(p := hit(h))]
-                if not found:
-                    continue
-                place, seed = np.concatenate([p for p, _ in found]), np.concatenate([s for _, s in found]).view(np.int64)
-                order = np.argsort(place, kind="stable")
-                place, seed = place[order], seed[order]
-                # Hits closer than ``reach`` share one stretch of words; a stretch is cut when it gets long.
-                cut = [0]
-                for i in range(1, len(place)):
-                    if place[i] - place[i - 1] > reach or place[i] - place[cut[-1]] > 4 * reach:
-                        cut.append(i)
-                signed = words.view(np.int64)
-                for a, b in zip(cut, cut[1:] + [len(place)]):
-                    low, high = max(0, place[a] - reach), min(len(words), place[b - 1] + reach)
-                    rows.append((doc, rid, int(low), signed[low:high].tolist(), (place[a:b] - low).tolist(), seed[a:b].tolist()))
-                    size += high - low + 2 * (b - a)
-                if size > 200_000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "rid", "low", "words", "place", "seed"])
-                    rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["doc_id", "rid", "low", "words", "place", "seed"])
+                for h in seeds(words) + [_windows(words, n) for n in short_lengths]:
+                    at = np.flatnonzero(hit(h))
+                    if len(at):
+                        out.append(pd.DataFrame({"doc_id": doc, "rid": rid, "place": at.astype(np.int32), "seed": h[at].view(np.int64)}))
+            if out:
+                yield pd.concat(out)
 
     return scan
 
 
+def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each diagonal of a text, its words there."""
+    known: dict[str, int] = {}
+    for pdf in parts:
+        rows, size = [], 0
+        for doc, rid, text, met in zip(pdf["doc_id"], pdf["rid"], pdf["text"], pdf["met"]):
+            words = hashed(text, known).view(np.int64)
+            for m in met:
+                low = max(0, m["diagonal"])
+                part = words[low:max(0, m["diagonal"] + m["n"])]
+                rows.append((doc, rid, m["item_id"], m["diagonal"], low, part.tolist()))
+                size += len(part)
+                if size > 200_000:
+                    yield pd.DataFrame(rows, columns=["doc_id", "rid", "item_id", "diagonal", "low", "words"])
+                    rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["doc_id", "rid", "item_id", "diagonal", "low", "words"])
+
+
 def overlap(a: np.ndarray, b: np.ndarray, least: int, same: float) -> tuple[int, int, int] | None:
     """Longest stretch of two equally placed word sequences that begins and ends in equal words and is ``same`` alike: (from, to, equal).
 
@@ -156,26 +152,25 @@ def _verify(least: int, same: float):
             rows = []
             for doc, rid, item, low, diagonal, words, item_words in zip(
                     pdf["doc_id"], pdf["rid"], pdf["item_id"], pdf["low"], pdf["diagonal"], pdf["words"], pdf["item_words"]):
-                a, b = np.asarray(words), np.asarray(item_words)
-                i, j = max(0, diagonal), min(len(a), diagonal + len(b))
-                got = overlap(a[i:j], b[i - diagonal:j - diagonal], min(least, len(b)), same) if j > i else None
+                a, b = np.asarray(words), np.asarray(item_words)[low - diagonal:]
+                got = overlap(a, b[:len(a)], min(least, len(item_words)), same)
                 if got:
-                    rows.append((doc, rid, item, low + i + got[0], low + i + got[1], got[2], len(b)))
+                    rows.append((doc, rid, item, low + got[0], low + got[1], got[2], len(item_words)))
             yield pd.DataFrame(rows, columns=["doc_id", "rid", "item_id", "first_word", "end_word", "n_equal", "item_words"])
 
     return check
 
 
-def _filter(spark: SparkSession, items: DataFrame) -> tuple[object, int]:
-    """Bitmap of the first bits of all seeds, 64 slots for each seed but 16 megabytes at most, and its bits. A seed that is no
-    benchmark's passes by chance at times, more often for a very large benchmark; the join sorts that out."""
-    bits = min(MOST_BITS, max(16, int(items.count()).bit_length() + 6))
+def _filter(hashes: DataFrame, column: str):
+    """Bitmap of the first bits of all hashes, 1,024 slots for each but 16 megabytes at most. Another hash passes by chance at times, more
+    often if there are very many; the join behind it sorts that out."""
+    bits = min(MOST_BITS, max(16, int(hashes.count()).bit_length() + 10))
     table = np.zeros(1 << (bits - 3), np.uint8)
-    packed = items.selectExpr(f"shiftrightunsigned(seed, {64 - bits}) as spot").selectExpr(
+    packed = hashes.selectExpr(f"shiftrightunsigned({column}, {64 - bits}) as spot").selectExpr(
         "cast(floor(spot / 8) as bigint) as byte", "shiftleft(1, cast(spot % 8 as int)) as bit")
     for r in packed.groupBy("byte").agg(F.expr("bit_or(bit)").alias("bit")).toLocalIterator():
         table[r["byte"]] = r["bit"]
-    return spark.sparkContext.broadcast(table.tobytes()), bits
+    return hashes.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -187,33 +182,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     words or more (all of a shorter item), begins and ends in equal words, and ``same`` of its words are equal. The longest
     one of a pair is returned. Items too short for a mask are matched whole, word for word.
 
-    A bitmap of bounded size, made of the benchmark's seeds, keeps other seeds of the documents from being shuffled. Texts of
-    documents are not shuffled: hits carry the words around them. Null texts and texts without words have no row, null ids
+    A bitmap of bounded size, made of the benchmark's seeds, keeps other seeds of the documents from being shuffled, and one of
+    the documents that met an item keeps other texts from it. Null texts and texts without words have no row, null ids
     are kept, equal rows give one result, and empty tables give no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     tests = benchmark.select(benchmark[item_col].alias("item_id"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("text")).distinct()
     item_type, doc_type = benchmark.schema[item_col].dataType, docs.schema[id_col].dataType
-    as_text = tests.select(F.col("item_id").cast("string"), "text")
-    items = materialize(as_text.mapInPandas(_item_rows, "item_id string, at int, seed bigint"))
+    as_text = tests.select(F.col("item_id").cast("string"), "text")  # ids pass pandas as text: integers and nulls would become floating point
+    items = materialize(as_text.mapInPandas(_item_rows, "item_id string, at int, seed bigint, n int"))
 
     def words_of(parts):
         known: dict[str, int] = {}
         for pdf in parts:
             yield pd.DataFrame({"item_id": pdf["item_id"], "item_words": [hashed(t, known).view(np.int64).tolist() for t in pdf["text"]]})
 
-    full = materialize(as_text.mapInPandas(words_of, "item_id string, item_words array<bigint>").withColumn("item_key", F.xxhash64("item_words")))
-    size = full.agg(F.max(F.size("item_words")).alias("most")).first().most or 0
-    shorter = [r.n for r in full.select(F.size("item_words").alias("n")).where(F.col("n").between(1, max(map(len, MASKS)) - 1)).distinct().collect()]
+    full = materialize(as_text.mapInPandas(words_of, "item_id string, item_words array<bigint>"))
+    shorter = [r.n for r in items.where(F.col("n") < max(map(len, MASKS))).select("n").distinct().collect()]
     rows = texts(docs, id_col, text_col).select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("rid"), "text")
-    hits = materialize(rows.mapInPandas(
-        _doc_hits(*_filter(spark, items), max(1, size), sorted(shorter)),
-        "doc_id string, rid bigint, low int, words array<bigint>, place array<int>, seed array<bigint>").distinct())
-    each = hits.select("doc_id", "rid", "low", F.inline(F.arrays_zip("place", "seed")))
-    met = each.join(items, "seed").select("doc_id", "rid", "low", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
-    pairs = (met.join(hits.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), F.col("low").alias("l"), "words"),
-                      met["doc_id"].eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")) & (F.col("low") == F.col("l")))
-             .join(full.select(F.col("item_id").alias("i"), "item_words"), met["item_id"].eqNullSafe(F.col("i"))))
+    hits = rows.mapInPandas(_doc_seeds(_filter(items, "seed"), sorted(shorter)), "doc_id string, rid bigint, place int, seed bigint")
+    met = hits.join(items, "seed").select("doc_id", "rid", "item_id", "n", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
+    by_doc = materialize(met.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("item_id", "n", "diagonal")).alias("met")))
+    bitmap = _filter(by_doc, "rid")
+
+    @F.pandas_udf("boolean")
+    def may_hold(rid: pd.Series) -> pd.Series:
+        return pd.Series(_bits(bitmap.value)(rid.to_numpy(np.int64).view(np.uint64)))
+
+    # Only texts that may have met an item are shuffled.
+    some = rows.where(may_hold("rid")).dropDuplicates(["doc_id", "rid"])
+    texts_met = some.join(by_doc.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "met"),
+                          F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rid") == F.col("r")))
+    cut = texts_met.select("doc_id", "rid", "text", "met").mapInPandas(
+        _cut, "doc_id string, rid bigint, item_id string, diagonal int, low int, words array<bigint>")
+    pairs = cut.join(full.select(F.col("item_id").alias("i"), "item_words"), F.col("item_id").eqNullSafe(F.col("i")))
     found = pairs.select("doc_id", "rid", "item_id", "low", "diagonal", "words", "item_words").mapInPandas(
         _verify(least, same), "doc_id string, rid bigint, item_id string, first_word int, end_word int, n_equal int, item_words int")
     best = F.max_by(F.struct("first_word", "end_word", "n_equal", "item_words"),
