@@ -136,7 +136,7 @@ def _fly(seed: int, level: int, last: bool):
 
 
 def decide(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-           share: float = 1.5, cap: float = 2.0, weights: Sequence[float] = (3, 1, 2), block: int = 20_000,
+           share: float = 1.5, cap: float = 2.0, weights: Sequence[float] = (3, 1, 2), block: int = 4_000,
            seed: int = 42) -> DataFrame:
     """How often each row is taken: doc_id, h (hash of the text), source, size, source_size, target, copies, taken.
 
