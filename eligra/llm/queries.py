@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eligra.llm import decontamination, mixing, quality, secret_scan, simhash, toxicity
+from eligra.llm import decontamination, mixing, pii, quality, secret_scan, simhash, toxicity, url_filter
+
+
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,17 +39,37 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.tag(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_source_mix": op3_source_mix,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
+    "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_url_filter": f"""
+        with rules(verdict, rule) as (values {", ".join(f"('{v}', '{h}{p}')" for v, h, p in URL_RULES)}),
+        rest as (select page_id, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end as r from pages),
+        parts as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path, row_number() over () as n from rest),
+        fits as (select n, max_by(rule, length(rule)) as rule, max_by(verdict, length(rule)) as verdict
+          from parts join rules on ends_with('.' || host, '.' || split_part(rule, '/', 1))
+            and starts_with(path, substr(rule, position('/' in rule))) group by n)
+        select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join fits using (n)""",
+}

@@ -30,9 +30,17 @@ def features(word: str) -> list[int]:
 def weak_labels(words: list[list[str]], toxic: np.ndarray, least: float = 20.0) -> list[np.ndarray]:
     """Token labels from document labels: in a toxic document, tokens of a word or beginning that stands in toxic documents far more often.
 
-    The test is a log-likelihood ratio over documents; a clean document has no toxic token.
+    The test is a log-likelihood ratio over documents; a clean document has no toxic token. Near copies count once: a document
+    that shares one of its four smallest five-word hashes with an earlier one is left out of the statistics.
     """
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    met: set[int] = set()
+    alone = []
+    for ws in words:
+        five = sorted({xxhash.xxh64_intdigest(" ".join(ws[i:i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(ws) - 4))})[:4]
+        alone.append(met.isdisjoint(five))
+        met.update(five)
+    kept = np.array(alone, bool)
+    n1, n0 = max(1, int((toxic & kept).sum())), max(1, int((~toxic & kept).sum()))
     seen = (Counter(), Counter())
     keys: dict[str, tuple[str, ...]] = {}
 
@@ -42,8 +50,10 @@ def weak_labels(words: list[list[str]], toxic: np.ndarray, least: float = 20.0)
             k = keys[w] = ("w" + w, *(f"{n}{w[:n]}" for n in (4, 5, 6) if len(w) >= n))
         return k
 
-    for ws, y in zip(words, toxic):
-        seen[int(y)].update({k for w in set(ws) for k in of(w)})
+    for ws, y, k in zip(words, toxic, kept):
+        if not k:
+            continue
+        seen[int(y)].update({f for w in set(ws) for f in of(w)})
     bad = set()
     for k, a in seen[1].items():
         b = seen[0][k]
@@ -214,7 +224,7 @@ def _spans(text: str, p: np.ndarray) -> str:
     return ",".join(f"{a}:{b}" for a, b in runs)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, rows: int = 1500, chars: int = 20_000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5, rows: int = 2000, chars: int = 20_000) -> dict:
     """The field learned from at most ``rows`` labelled documents of each class, of ``chars`` characters at most, outside the held-out fold."""
     return train(labelled_sample(texts(docs, "doc_id", "text"), labels, "toxic", fold(F.col("doc_id"), folds) != held_out, rows, chars))
 
