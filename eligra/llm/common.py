@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +87,38 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: Bitmaps have 2 ** MOST_BITS slots at most: 16 megabytes.
+MOST_BITS = 27
+
+
+def bitmap(hashes: DataFrame, column: str):
+    """Broadcast bitmap of the first bits of all 64-bit hashes: 1,024 slots for each, 16 megabytes at most, filled in tasks.
+
+    Another hash passes by chance at times, more often if there are very many; the join behind it sorts that out.
+    """
+    bits = min(MOST_BITS, max(16, int(hashes.count()).bit_length() + 10))
+    spots = hashes.selectExpr(f"shiftrightunsigned({column}, {64 - bits}) as spot").selectExpr(
+        "cast(shiftright(spot, 3) as int) as byte", "shiftleft(1, cast(spot & 7 as int)) as bit")
+    per_byte = spots.groupBy("byte").agg(F.expr("bit_or(bit)").alias("bit")).withColumn("part", F.shiftright("byte", 13))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros(8192, np.uint8)
+        table[pdf["byte"].to_numpy() & 8191] = pdf["bit"].to_numpy()
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [table.tobytes()]})
+
+    table = bytearray(1 << (bits - 3))
+    for r in per_byte.groupBy("part").applyInPandas(pack, "part int, bits binary").toLocalIterator():
+        table[r["part"] * 8192:r["part"] * 8192 + 8192] = r["bits"][:len(table)]
+    return hashes.sparkSession.sparkContext.broadcast(bytes(table))
+
+
+def in_bitmap(table: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the unsigned hashes may be in it."""
+    bits, shift = np.frombuffer(table, np.uint8), np.uint64(64 - (len(table).bit_length() + 2))
+    k = (hashes >> shift).astype(np.int64)
+    return ((bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def batches(items: Iterable, size: int):
     """Lists of up to ``size`` items."""
     held = []

@@ -11,13 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eligra.llm.common import fresh, texts
+from eligra.llm.common import bitmap, fresh, in_bitmap, texts
 from eligra.session import materialize
 
 #: Token positions that count (1) and that may differ (0). Eight of twelve to fourteen words; no two shifts agree in many.
 MASKS = ("111011011011", "1101101001110001", "11100110010100011", "1110001011010011")
 TOKEN = regex.compile(r"\w+")
-MOST_BITS = 27
 
 
 def hashed(text: str, known: dict[str, int]) -> np.ndarray:
@@ -75,28 +74,17 @@ def _windows(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def _bits(bitmap: bytes):
-    table, shift = np.frombuffer(bitmap, np.uint8), np.uint64(64 - (len(bitmap).bit_length() + 2))
-
-    def hit(h: np.ndarray) -> np.ndarray:
-        k = (h >> shift).astype(np.int64)
-        return ((table[k >> 3] >> (k & 7).astype(np.uint8)) & 1).astype(bool)
-
-    return hit
-
-
-def _doc_seeds(bitmap, short_lengths: list[int]):
+def _doc_seeds(of_items, short_lengths: list[int]):
     """Places of a text whose seed may be one of a benchmark."""
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
-        hit = _bits(bitmap.value)
         for pdf in parts:
             out = []
             for doc, rid, text in zip(pdf["doc_id"], pdf["rid"], pdf["text"]):
                 words = hashed(text, known)
                 for h in seeds(words) + [_windows(words, n) for n in short_lengths]:
-                    at = np.flatnonzero(hit(h))
+                    at = np.flatnonzero(in_bitmap(of_items.value, h))
                     if len(at):
                         out.append(pd.DataFrame({"doc_id": doc, "rid": rid, "place": at.astype(np.int32), "seed": h[at].view(np.int64)}))
             if out:
@@ -161,18 +149,6 @@ def _verify(least: int, same: float):
     return check
 
 
-def _filter(hashes: DataFrame, column: str):
-    """Bitmap of the first bits of all hashes, 1,024 slots for each but 16 megabytes at most. Another hash passes by chance at times, more
-    often if there are very many; the join behind it sorts that out."""
-    bits = min(MOST_BITS, max(16, int(hashes.count()).bit_length() + 10))
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    packed = hashes.selectExpr(f"shiftrightunsigned({column}, {64 - bits}) as spot").selectExpr(
-        "cast(floor(spot / 8) as bigint) as byte", "shiftleft(1, cast(spot % 8 as int)) as bit")
-    for r in packed.groupBy("byte").agg(F.expr("bit_or(bit)").alias("bit")).toLocalIterator():
-        table[r["byte"]] = r["bit"]
-    return hashes.sparkSession.sparkContext.broadcast(table.tobytes())
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", least: int = 13, same: float = 0.8) -> DataFrame:
     """One row for each document and benchmark item that overlap: doc_id, rid (text hash), item_id, first_word, end_word, n_equal, item_words.
@@ -199,14 +175,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     full = materialize(as_text.mapInPandas(words_of, "item_id string, item_words array<bigint>"))
     shorter = [r.n for r in items.where(F.col("n") < max(map(len, MASKS))).select("n").distinct().collect()]
     rows = texts(docs, id_col, text_col).select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("rid"), "text")
-    hits = rows.mapInPandas(_doc_seeds(_filter(items, "seed"), sorted(shorter)), "doc_id string, rid bigint, place int, seed bigint")
+    hits = rows.mapInPandas(_doc_seeds(bitmap(items, "seed"), sorted(shorter)), "doc_id string, rid bigint, place int, seed bigint")
     met = hits.join(items, "seed").select("doc_id", "rid", "item_id", "n", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
     by_doc = materialize(met.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("item_id", "n", "diagonal")).alias("met")))
-    bitmap = _filter(by_doc, "rid")
+    of_docs = bitmap(by_doc, "rid")
 
     @F.pandas_udf("boolean")
     def may_hold(rid: pd.Series) -> pd.Series:
-        return pd.Series(_bits(bitmap.value)(rid.to_numpy(np.int64).view(np.uint64)))
+        return pd.Series(in_bitmap(of_docs.value, rid.to_numpy(np.int64).view(np.uint64)))
 
     # Only texts that may have met an item are shuffled.
     some = rows.where(may_hold("rid")).dropDuplicates(["doc_id", "rid"])

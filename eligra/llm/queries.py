@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eligra.llm import decontamination, mixing, pii, quality, secret_scan, simhash, toxicity, url_filter
+from eligra.llm import decontamination, mixing, neighbours, pii, quality, secret_scan, simhash, suffix_dedup, toxicity, url_filter
 
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -21,6 +21,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"), owner_col="source", repo_col="lang", max_owners=3)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.top(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mixing.decide(_table(spark, sf_dir, "documents"), share=1.5, cap=2.0, weights=(3, 1, 2))
             .select("doc_id", "size", "source_size", "target", "taken", "source", "copies"))
@@ -47,18 +51,24 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.tag(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_neighbours": op2_neighbours,
     "op3_source_mix": op3_source_mix,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
 }
 
