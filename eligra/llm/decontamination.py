@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,20 +16,23 @@ from eligra.session import materialize
 
 #: Token positions that count (1) and that may differ (0). Eight of twelve to fourteen words; no two shifts agree in many.
 MASKS = ("111011011011", "1101101001110001", "11100110010100011", "1110001011010011")
-TOKEN = regex.compile(r"\w+")
+TOKEN = re.compile(r"\w+")
 
 
-def hashed(text: str, known: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of the words in lower case. ``known`` holds those met before and is emptied when it grows large."""
+class Hashes(dict):
+    """64-bit hashes of words, worked out once for each word; emptied between texts when it holds very many."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def hashed(text: str, known: Hashes) -> np.ndarray:
+    """Hashes of the words in lower case."""
     if len(known) > 1_000_000:
         known.clear()
-    out = []
-    for w in TOKEN.findall(text.lower()):
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    words = TOKEN.findall(text.lower())
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def seeds(words: np.ndarray, masks=MASKS) -> list[np.ndarray]:
@@ -50,7 +53,7 @@ def seeds(words: np.ndarray, masks=MASKS) -> list[np.ndarray]:
 
 
 def _item_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
+    known = Hashes()
     for pdf in parts:
         rows = []
         for item, text in zip(pdf["item_id"], pdf["text"]):
@@ -75,27 +78,32 @@ def _windows(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def _doc_seeds(of_items, short_lengths: list[int]):
-    """Places of a text whose seed may be one of a benchmark."""
+    """Places of a text whose seed may be one of a benchmark. Texts are hashed together; a seed that runs over an end is left out."""
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        for pdf in parts:
-            out = []
-            for doc, rid, text in zip(pdf["doc_id"], pdf["rid"], pdf["text"]):
-                words = hashed(text, known)
-                for h in seeds(words) + [_windows(words, n) for n in short_lengths]:
-                    at = np.flatnonzero(in_bitmap(of_items.value, h))
-                    if len(at):
-                        out.append(pd.DataFrame({"doc_id": doc, "rid": rid, "place": at.astype(np.int32), "seed": h[at].view(np.int64)}))
-            if out:
-                yield pd.concat(out)
+        known = Hashes()
+        spans = [(k, len(m)) for k, m in enumerate(MASKS)] + [(None, n) for n in short_lengths]
+        for pdf in (p[i:i + 500] for p in parts for i in range(0, len(p), 500)):
+            words = [hashed(t, known) for t in pdf["text"]]
+            ends = np.cumsum([len(w) for w in words])
+            flat = np.concatenate(words) if words else np.empty(0, np.uint64)
+            docs, rids, out = pdf["doc_id"].to_numpy(), pdf["rid"].to_numpy(), []
+            for h, (_, n) in zip(seeds(flat) + [_windows(flat, n) for n in short_lengths], spans):
+                at = np.flatnonzero(in_bitmap(of_items.value, h))
+                row = np.searchsorted(ends, at, side="right")
+                inside = at + n <= ends[row] if len(at) else np.zeros(0, bool)
+                at, row = at[inside], row[inside]
+                start = np.concatenate([[0], ends])[row]
+                out.append(pd.DataFrame({"doc_id": docs[row], "rid": rids[row], "place": (at - start).astype(np.int32),
+                                         "seed": h[at].view(np.int64) if len(h) else np.empty(0, np.int64)}))
+            yield pd.concat(out)
 
     return scan
 
 
 def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each diagonal of a text, its words there."""
-    known: dict[str, int] = {}
+    known = Hashes()
     for pdf in parts:
         rows, size = [], 0
         for doc, rid, text, met in zip(pdf["doc_id"], pdf["rid"], pdf["text"], pdf["met"]):
@@ -168,7 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = materialize(as_text.mapInPandas(_item_rows, "item_id string, at int, seed bigint, n int"))
 
     def words_of(parts):
-        known: dict[str, int] = {}
+        known = Hashes()
         for pdf in parts:
             yield pd.DataFrame({"item_id": pdf["item_id"], "item_words": [hashed(t, known).view(np.int64).tolist() for t in pdf["text"]]})
 

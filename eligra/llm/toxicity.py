@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eligra.llm.common import batches, fold, labelled_sample, texts
 
-TOKEN = regex.compile(r"\w+")
+TOKEN = re.compile(r"\w+")
 SLOTS = 1 << 18
 FEATURES = 7
 #: Tokens tagged at a time: the chain of a batch of texts; a longer text is one chain of its own.
@@ -27,6 +28,12 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass")) % SLOTS for p in parts]
 
 
+def _words(text: str) -> list[str]:
+    """Words in lower case, as many as in the text itself: if lowering the whole changes its length, each word is lowered alone."""
+    low = text.lower()
+    return TOKEN.findall(low) if len(low) == len(text) else [w.lower() for w in TOKEN.findall(text)]
+
+
 def weak_labels(words: list[list[str]], toxic: np.ndarray, least: float = 20.0) -> list[np.ndarray]:
     """Token labels from document labels: in a toxic document, tokens of a word or beginning that stands in toxic documents far more often.
 
@@ -128,7 +135,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 150, rate: float = 0.1, d
     model = {"w": np.zeros(SLOTS), "bias": -4.0, "trans": np.zeros((2, 2)), "cal": np.array([-3.0, 1.0, 0.0])}
     if not sample:
         return model
-    words = [TOKEN.findall(t.lower()) for t, _ in sample]
+    words = [_words(t) for t, _ in sample]
     toxic = np.array([y == 1 for _, y in sample])
     fit = np.arange(len(sample)) % 5 != 4
     labels = weak_labels([w for w, k in zip(words, fit) if k], toxic[fit])
@@ -174,28 +181,32 @@ def _evidence(p: np.ndarray) -> tuple[float, float]:
     return max(-8.0, min(8.0, np.log((top + 1e-9) / (1 - top + 1e-9)))), float(np.log1p(p.sum()))
 
 
-def _tag(model: dict, words: list[list[str]], cache: dict[str, float] | None = None) -> list[np.ndarray]:
-    cache = {} if cache is None else cache
-    w, bias = model["w"], model["bias"]
+class Emissions(dict):
+    """Weight of each word, worked out once."""
+
+    def __init__(self, model: dict) -> None:
+        super().__init__()
+        self.w, self.bias = model["w"], model["bias"]
+
+    def __missing__(self, word: str) -> float:
+        s = self[word] = float(self.w[features(word)].sum()) + self.bias
+        return s
+
+
+def _tag(model: dict, words: list[list[str]], cache: Emissions | None = None) -> list[np.ndarray]:
+    cache = Emissions(model) if cache is None else cache
     if len(cache) > 1_000_000:
         cache.clear()
     out: list[np.ndarray] = []
     held: list[list[str]] = []
 
     def run() -> None:
-        e = np.empty(sum(map(len, held)))
-        at, first = 0, np.zeros(len(e), bool)
-        for ws in held:
-            if ws:
-                first[at] = True
-            for t in ws:
-                s = cache.get(t)
-                if s is None:
-                    s = cache[t] = float(w[features(t)].sum()) + bias
-                e[at] = s
-                at += 1
-        p, _ = marginals(e, first, model["trans"])
-        out.extend(np.split(p, np.cumsum([len(ws) for ws in held])[:-1]))
+        ends = np.cumsum([len(ws) for ws in held])
+        e = np.fromiter(map(cache.__getitem__, chain.from_iterable(held)), float, int(ends[-1]))
+        first = np.zeros(len(e) + 1, bool)
+        first[np.concatenate([[0], ends])] = True
+        p, _ = marginals(e, first[:-1], model["trans"])
+        out.extend(np.split(p, ends[:-1]))
         held.clear()
 
     size = 0
@@ -239,13 +250,12 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int =
     model = fit(docs, labels, held_out, folds, **bounds)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, float] = {}
+        cache = Emissions(model)
         c = model["cal"]
         for column in parts:
             rows = []
             for part in batches(column, 500):
-                # Offsets are those of the text as it is: words are lowered one by one, which never moves them.
-                tagged = _tag(model, [[w.lower() for w in TOKEN.findall(t)] for t in part], cache)
+                tagged = _tag(model, [_words(t) for t in part], cache)
                 for t, p in zip(part, tagged):
                     got = _evidence(p)
                     s = 1 / (1 + np.exp(-np.clip(c[0] + c[1] * got[0] + c[2] * got[1], -30, 30)))
