@@ -72,7 +72,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
+def _either_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+#: The base patterns and the token pattern in DuckDB's dialect, with the group that holds the value and its least length.
+SECRET_PATTERNS = (
+    (f"({_either_case('password|passwd|secret|token|api_?key')})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 8),
+    ("AKIA[A-Z0-9]+", 0, 16), ("[0-9a-f]+", 0, 32), ("[A-Za-z0-9+/_=-]{12,}", 0, 12))
+
 ORACLES: dict[str, str] = {
+    "op1_secret_scan": f"""
+        with t as (select row_number() over () as rn, doc_id, coalesce(text, '') as x, coalesce(source, '') as owner,
+            concat_ws(chr(0), source, lang) as repo from documents),
+        hits as ({" union all ".join(
+            f"select rn, {k} as kind, unnest(regexp_extract_all(x, '{p}', 0)) as hit, unnest(regexp_extract_all(x, '{p}', {g})) as val, "
+            f"unnest(string_split_regex(x, '{p}')[:-2]) as gap, generate_subscripts(regexp_extract_all(x, '{p}', 0), 1) as i, {n} as least "
+            f"from t where regexp_matches(x, '{p}')" for k, (p, g, n) in enumerate(SECRET_PATTERNS))}),
+        placed as (select rn, kind, val, least, sum(length(gap) + length(hit)) over (partition by rn, kind order by i) as e, length(hit) as n from hits),
+        sized as (select rn, kind, val, e - n as s, e from placed where length(val) >= least),
+        looks as (select *, len(list_distinct(string_split(val, ''))) as chars, regexp_matches(val, '[0-9]') as d, regexp_matches(val, '[a-z]') as lo,
+            regexp_matches(val, '[A-Z]') as up from sized),
+        base as (select * from looks where kind < 3),
+        tokens as (select * from looks k where kind = 3 and d and (lo or up) and chars >= 8 and not exists (
+            select 1 from base b where b.rn = k.rn and b.s < k.e and k.s < b.e)),
+        every as (select * from base union all select * from tokens),
+        owners as (select val, count(distinct owner) as owners, bool_or(kind < 3) as known from every join t using (rn) group by val),
+        found as (select e.rn, e.kind, e.s, e.e, length(e.val) >= 12 and e.d and (e.lo or e.up) and e.chars >= 8 as live, o.owners > 3 as copied
+          from every e join owners o using (val)
+          where e.kind < 3 or (o.owners <= 3 and (o.known or (length(e.val) >= 20 and e.d and e.lo and e.up and e.chars >= 12)))),
+        named as (select *, (case kind when 0 then 'assign' when 1 then 'access' when 2 then 'hex' else 'owned' end) || ':' || cast(s as bigint) || ':' || cast(e as bigint) as span
+          from found),
+        rows as (select rn, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+            string_agg(span, ',' order by s, kind) filter (kind < 3) as base, string_agg(span, ',' order by s, kind) as spans,
+            count(*) filter (live and not copied) as n_live, count(*) filter (copied) as n_copied from named group by rn)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+          sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied
+        from t left join rows using (rn)""",
+    "op9_suffix_dedup": """
+        with t as (select row_number() over () as rn, doc_id, encode(coalesce(text, '')) as b from documents),
+        w as (select rn, b, unnest(range(0, octet_length(b) - 199)) as i from t where octet_length(b) >= 200),
+        k as (select rn, i, md5(array_slice(b, i + 1, i + 200)) as h from w),
+        d as (select rn, i from k qualify count(*) over (partition by h) > 1),
+        g as (select rn, i, case when i - lag(i) over (partition by rn order by i) <= 200 then 0 else 1 end as start from d),
+        r as (select rn, i, sum(start) over (partition by rn order by i) as run from g),
+        runs as (select rn, min(i) as s, max(i) + 200 as e from r group by rn, run),
+        gaps as (select rn, coalesce(lag(e) over (partition by rn order by s), 0) as a, s as z from runs
+          union all select rn, max(e), 9223372036854775806 from runs group by rn),
+        pieces as (select gaps.rn, a, case when z > a and octet_length(b) > a then hex(array_slice(b, a + 1, least(z, octet_length(b)))) else '' end as piece from gaps join t using (rn)),
+        kept as (select rn, sha256(unhex(string_agg(piece, '' order by a))) as kept from pieces group by rn),
+        sums as (select rn, cast(sum(e - s) as bigint) as n_removed, count(*) as n_spans from runs group by rn)
+        select doc_id, octet_length(b) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+          coalesce(kept, sha256(b)) as kept_sha256 from t left join sums using (rn) left join kept using (rn)""",
     "op7_url_filter": f"""
         with rules(verdict, rule) as (values {", ".join(f"('{v}', '{h}{p}')" for v, h, p in URL_RULES)}),
         rest as (select page_id, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end as r from pages),
