@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligra.operators.match import TAU_EXC, TAU_INC, PairScores
-from eligra.operators.ranking import position
+from eligra.operators.ranking import position, range_bin
+
+#: Trials whose scores travel together where pairs are spelled out.
+TRIAL_BLOCK = 64
 
 
 def is_eligible(tau_inc: float = TAU_INC, tau_exc: float = TAU_EXC) -> Column:
@@ -79,35 +82,50 @@ def score_histogram(labels: PairScores, patients: DataFrame, score: Column) -> D
     return hit.unionByName(rest).groupBy("score").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
 
 
-def unroll_defaults(scores: PairScores, patients: DataFrame, condition: str) -> DataFrame:
-    """The pairs without a hit of the trials whose default row meets ``condition``.
+def complete_pairs(scores: PairScores, patients: DataFrame, trials: DataFrame | None = None,
+                   condition: str | None = None) -> DataFrame:
+    """Every pair of ``patients`` and ``trials`` with its score, hit or not: as many rows as pairs are asked for.
 
-    Each patient row is expanded in place by the list of those trials (one value, bounded by the
-    number of trials); pairs that do have a hit are then removed. The result is as large as what
-    the caller asks for, so give a condition that only a few trials meet.
+    Trials are cut into blocks of about ``TRIAL_BLOCK`` by hash. A patient's hits of a block are one map, the defaults of a block
+    one array, both bounded by the block; patients meet the blocks in two equi-joins and each pair is spelled out last, in
+    place. What is shuffled grows with patients x blocks and with the hits, never with the pairs. ``condition`` picks trials by
+    their default score, for callers that want the pairs without a hit of a few trials only.
     """
-    fields = [c for c in scores.pairs.columns if c not in ("patient_id",)]
-    trials = scores.defaults.where(condition).agg(F.collect_list(F.struct(*fields))).scalar()
+    fields = [c for c in scores.pairs.columns if c not in ("patient_id", "trial_id")]
+    chosen = scores.defaults if trials is None else scores.defaults.join(trials.select("trial_id"), "trial_id", "left_semi")
+    if condition is not None:
+        chosen = chosen.where(condition)
+    n_blocks = scores.defaults.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / TRIAL_BLOCK)).cast("int")).scalar()
+
+    def blocked(df: DataFrame) -> DataFrame:
+        return df.withColumn("_nb", n_blocks).withColumn("_block", F.pmod(F.xxhash64("trial_id"), F.col("_nb")).cast("int")).drop("_nb")
+
+    defaults = blocked(chosen).groupBy("_block").agg(F.collect_list(F.struct("trial_id", F.struct(*fields).alias("score"))).alias("_trials"))
+    own = blocked(scores.pairs).groupBy("patient_id", "_block").agg(
+        F.map_from_entries(F.collect_list(F.struct("trial_id", F.struct(*fields).alias("score")))).alias("_own"))
+    grid = patients.select("patient_id").withColumn("_nb", n_blocks).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb")
     return (
-        patients.select("patient_id").withColumn("_trials", trials)
-        .select("patient_id", F.explode("_trials").alias("_t")).select("patient_id", "_t.*")
-        .join(scores.pairs.select("patient_id", "trial_id"), ["patient_id", "trial_id"], "left_anti")
-        .select(*scores.pairs.columns)
+        grid.join(own, ["patient_id", "_block"], "left").join(defaults, "_block")
+        .select("patient_id", "_own", F.explode("_trials").alias("_t"))
+        .select("patient_id", F.col("_t.trial_id").alias("trial_id"), F.coalesce(F.col("_own")[F.col("_t.trial_id")], F.col("_t.score")).alias("_s"))
+        .select("patient_id", "trial_id", *[F.col(f"_s.{c}").alias(c) for c in fields])
     )
 
 
 def weak_positives(scores: PairScores, patients: DataFrame, tau_inc: float) -> DataFrame:
     """Every pair with enough inclusion score, including all patients of a trial that asks for nothing."""
-    hit = scores.pairs.where(F.col("m_inc") >= tau_inc)
-    return hit.unionByName(unroll_defaults(scores, patients, f"m_inc >= {tau_inc}"))
+    vacuous = scores.defaults.where(F.col("m_inc") >= tau_inc)
+    hit = scores.pairs.join(vacuous.select("trial_id"), "trial_id", "left_anti").where(F.col("m_inc") >= tau_inc)
+    return hit.unionByName(complete_pairs(scores, patients, condition=f"m_inc >= {tau_inc}").where(F.col("m_inc") >= tau_inc).select(*hit.columns))
 
 
 def round_robin_pairs(patients: DataFrame, trials: DataFrame) -> DataFrame:
     """Fallback when no weak positive exists: patient i goes to trial i mod n."""
-    indexed = position(trials.select("trial_id"), ["trial_id"], F.floor(F.col("trial_id") / 4096))
+    indexed = position(trials.select("trial_id"), ["trial_id"], range_bin(trials, "trial_id"))
     n_trials = trials.agg(F.count("*")).scalar()
     return (
-        position(patients.select("patient_id"), ["patient_id"], F.floor(F.col("patient_id") / 4096))
+        position(patients.select("patient_id"), ["patient_id"], range_bin(patients, "patient_id"))
         .withColumn("pos", F.col("pos") % n_trials).join(indexed, "pos").select("patient_id", "trial_id")
     )
 
@@ -121,7 +139,7 @@ def weak_pairs(scores: PairScores, patients: DataFrame, tau_inc: float = 0.01) -
 
 
 def hard_negatives(pairs: DataFrame, positives: DataFrame, tau_inc: float = TAU_INC, tau_exc: float = TAU_EXC) -> DataFrame:
-    """Trials that look right on inclusion but hit an exclusion, other than the positive one."""
+    """Trials that look right on inclusion but meet an exclusion, other than the positive one. ``pairs`` may be complete."""
     wrong = pairs.where((F.col("m_inc") >= tau_inc) & (F.col("m_exc") >= tau_exc)).select(
         "patient_id", F.col("trial_id").alias("negative_trial_id"))
     return positives.join(wrong, "patient_id").where(F.col("negative_trial_id") != F.col("trial_id"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from eligra.functions.hashing import draw_key
 
@@ -32,6 +33,20 @@ def position(df: DataFrame, order_by: Sequence[str], bins: Column, groups: Seque
     )
 
 
+def range_bin(df: DataFrame, key: str, bins: int = 256) -> Column:
+    """Ordered bin of ``key`` for ``position``: numbers and texts alike, by edges cut from a sketch of the keys themselves.
+
+    The edges (a fixed number, whatever the table's size) are approximate quantiles for numbers and a range of the
+    lowest hashes' keys for other types; only how even the bins are depends on them, not the positions.
+    """
+    if isinstance(df.schema[key].dataType, NumericType):
+        found = df.agg(F.percentile_approx(key, [i / bins for i in range(1, bins)], 1000)).first()[0] or []
+    else:
+        found = [r[0] for r in df.select(key).distinct().orderBy(F.xxhash64(key)).limit(bins).collect()]
+    edges = [F.lit(e) for e in sorted({e for e in found if e is not None})]
+    return F.size(F.filter(F.array(*edges), lambda e: e <= F.col(key))) if edges else F.lit(0)
+
+
 def shuffled_position(df: DataFrame, ids: Sequence[str], seed: int, groups: Sequence[str] = ()) -> DataFrame:
     """``pos`` in a seeded shuffle of the rows; hash bins are even whatever the ids look like."""
     keyed = df.withColumn("_key", draw_key(seed, *[F.col(i) for i in ids]))

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligra.functions.hashing import draw_key, uniform
+from eligra.operators.labels import complete_pairs
 from eligra.operators.match import PairScores
-from eligra.operators.ranking import position, shuffled_position
+from eligra.operators.ranking import position, range_bin, shuffled_position
 
 FRACTIONS = (0.70, 0.15, 0.15)
 NEG_PER_POS = 20
@@ -58,26 +59,26 @@ def prevalence_bins(prevalence: DataFrame, n_bins: int = PREVALENCE_BINS) -> Dat
             F.size(F.filter("_edges", lambda e: e <= F.col("prevalence")))).alias("bin"))
 
 
+#: Patient and trial split of each block of pairs in use.
+QUADRANTS = {"train": ("train", "train"), "val": ("val", "val"), "test": ("test", "test"),
+             "cold_patient_only": ("test", "train"), "cold_trial_only": ("train", "test")}
+
+
 def quadrant(patient_split: Column, trial_split: Column) -> Column:
     """Name of the block a pair falls in; null for blocks that are never used."""
-    return (
-        F.when((patient_split == "train") & (trial_split == "train"), "train")
-        .when((patient_split == "val") & (trial_split == "val"), "val")
-        .when((patient_split == "test") & (trial_split == "test"), "test")
-        .when((patient_split == "test") & (trial_split == "train"), "cold_patient_only")
-        .when((patient_split == "train") & (trial_split == "test"), "cold_trial_only")
-    )
+    return F.coalesce(*[F.when((patient_split == p) & (trial_split == t), name) for name, (p, t) in QUADRANTS.items()])
 
 
-def split_pairs(labels: PairScores, patient_splits: DataFrame, trial_splits: DataFrame) -> DataFrame:
-    """Pairs with a hit, tagged with their quadrant."""
-    p = patient_splits.select("patient_id", F.col("split").alias("p_split"))
-    t = trial_splits.select("trial_id", F.col("split").alias("t_split"))
-    return (
-        labels.pairs.join(p, "patient_id").join(t, "trial_id")
-        .withColumn("quadrant", quadrant(F.col("p_split"), F.col("t_split")))
-        .where(F.col("quadrant").isNotNull()).drop("p_split", "t_split")
-    )
+def split_pairs(labels: PairScores, patient_splits: DataFrame, trial_splits: DataFrame,
+                quadrants: Sequence[str] = tuple(QUADRANTS)) -> DataFrame:
+    """Every pair of the named quadrants, hit or not, tagged with its quadrant."""
+    out = None
+    for name in quadrants:
+        p_split, t_split = QUADRANTS[name]
+        part = complete_pairs(labels, patient_splits.where(F.col("split") == p_split), trial_splits.where(F.col("split") == t_split))
+        part = part.withColumn("quadrant", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def quadrant_sizes(labels: PairScores, patient_splits: DataFrame, trial_splits: DataFrame) -> DataFrame:
@@ -101,21 +102,8 @@ def quadrant_sizes(labels: PairScores, patient_splits: DataFrame, trial_splits:
 
 
 def dense_pairs(labels: PairScores, patients: DataFrame, trials: DataFrame) -> DataFrame:
-    """Every pair of one quadrant with its label: the evaluation grid of a model that scores all pairs.
-
-    The result has patients x trials rows by definition. Patient rows are expanded in place by the
-    list of trial defaults of the quadrant, then the scores of pairs with a hit replace them.
-    """
-    chosen = labels.defaults.join(trials.select("trial_id"), "trial_id", "left_semi")
-    fields = [c for c in labels.pairs.columns if c != "patient_id"]
-    grid_row = chosen.agg(F.collect_list(F.struct(*fields))).scalar()
-    grid = (
-        patients.select("patient_id").withColumn("_trials", grid_row)
-        .select("patient_id", F.explode("_trials").alias("_t")).select("patient_id", "_t.*")
-    )
-    hit = labels.pairs.select("patient_id", "trial_id", *[F.col(c).alias(f"_hit_{c}") for c in fields if c != "trial_id"])
-    return grid.join(hit, ["patient_id", "trial_id"], "left").select(
-        "patient_id", "trial_id", *[F.coalesce(f"_hit_{c}", c).alias(c) for c in fields if c != "trial_id"])
+    """Every pair of one quadrant with its label: the evaluation grid of a model that scores all pairs."""
+    return complete_pairs(labels, patients, trials)
 
 
 def take_first(pairs: DataFrame, n: Column | int, seed: int, ids: Sequence[str]) -> DataFrame:
@@ -153,36 +141,39 @@ def k_folds(trials: DataFrame, k: int, seed: int, key: str = "trial_id") -> Data
 def prefix_split(trials: DataFrame, seq: str = "seq", fraction: float = 0.8, bins: Column | None = None) -> DataFrame:
     """First ``fraction`` of the rows in file order are train, the others eval.
 
-    ``bins``: coarse, non-decreasing function of ``seq``; by default blocks of a numeric ``seq``.
+    ``bins``: coarse, non-decreasing function of ``seq``; by default ranges of its values.
     """
     n = trials.agg(F.count("*")).scalar()
-    ranked = position(trials, [seq], F.floor(F.col(seq) / 4096) if bins is None else bins).withColumn("_n", n)
+    ranked = position(trials, [seq], range_bin(trials, seq) if bins is None else bins).withColumn("_n", n)
     return ranked.withColumn("split", F.when(F.col("pos") < F.floor(F.col("_n") * fraction), "train").otherwise("eval")).drop("pos", "_n")
 
 
 def random_negative_trials(pairs: DataFrame, trials: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` trials per pair drawn from all trials other than its own.
+    """``n`` different trials per pair, drawn from all trials other than its own; all others if there are fewer.
 
-    Trial positions are drawn with a seeded hash and looked up, over-drawing to make up for
-    repeats, so no pair meets every trial.
+    Trials stand on a ring in an order shuffled by the seed. A pair's draws come from ``n`` + 1 arcs of the ring as even as the number of
+    trials allows, one place in each by a seeded hash, starting at a hash of the pair: places cannot repeat, so none is drawn twice and
+    the own trial can be among them once. It is left out, or else one arc is, again by hash. Ids may be of any type.
     """
-    indexed = position(trials.select("trial_id").distinct(), ["trial_id"], F.floor(F.col("trial_id") / 4096)).select(
-        F.col("trial_id").alias("negative_trial_id"), F.col("pos").alias("_pos"))
+    indexed = shuffled_position(trials.select("trial_id").distinct(), ["trial_id"], seed).select(
+        F.col("trial_id").alias("negative_trial_id"), F.col("pos").cast("bigint").alias("_pos"))
     n_trials = trials.agg(F.countDistinct("trial_id")).scalar()
+    pair = (F.col("patient_id"), F.col("trial_id"))
+    arcs = F.least(F.lit(n + 1).cast("bigint"), F.col("_n"))
+    low, high = (F.floor(F.col("_n") * k / F.col("_arcs")) for k in (F.col("_arc"), F.col("_arc") + 1))
     drawn = (
-        pairs.select("patient_id", "trial_id").withColumn("_n", n_trials)
-        .withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(4 * n + 15))))
-        .withColumn("_pos", F.floor(uniform(seed, F.col("patient_id"), F.col("trial_id"), F.col("_try")) * F.col("_n")))
-        .groupBy("patient_id", "trial_id", "_pos").agg(F.min("_try").alias("_try"))
+        pairs.select("patient_id", "trial_id").distinct().withColumn("_n", n_trials).withColumn("_arcs", arcs)
+        .withColumn("_arc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_arcs") - 1)))
+        .withColumn("_turn", F.floor(uniform(seed, *pair, F.lit("turn")) * F.col("_n")))
+        .withColumn("_in", low + F.floor(uniform(seed, *pair, F.col("_arc")) * (high - low)))
+        .withColumn("_pos", (F.col("_in") + F.col("_turn")) % F.col("_n"))
     )
-    # The own trial may be among the first n + 1 distinct draws, never more than once.
-    first = drawn.groupBy("patient_id", "trial_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("_try", "_pos"))), 1, n + 1).alias("_c"))
-    found = first.select("patient_id", "trial_id", F.posexplode("_c").alias("_i", "_s")).select(
-        "patient_id", "trial_id", "_i", F.col("_s._pos").alias("_pos")).join(indexed, "_pos")
-    others = found.where(F.col("negative_trial_id") != F.col("trial_id")).groupBy("patient_id", "trial_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("_i", "negative_trial_id"))), 1, n).alias("_k"))
-    return others.select("patient_id", "trial_id", F.explode("_k").alias("_e")).select(
+    found = drawn.join(indexed, "_pos").withColumn("_own", F.col("negative_trial_id") == F.col("trial_id"))
+    order = F.array_sort(F.collect_list(F.struct((~F.col("_own")).alias("a"), draw_key(seed, *pair, F.col("_arc")).alias("b"), "negative_trial_id", "_own")))
+    # n + 1 draws at most: the own trial stands first, if it is among them, and goes; else the first draw does.
+    kept = found.groupBy("patient_id", "trial_id").agg(order.alias("_all"), F.max("_n").alias("_n")).withColumn(
+        "_all", F.when((F.size("_all") > n) | F.col("_all")[0]["_own"], F.slice("_all", 2, n)).otherwise(F.col("_all")))
+    return kept.select("patient_id", "trial_id", F.explode("_all").alias("_e")).select(
         "patient_id", "trial_id", F.col("_e.negative_trial_id").alias("negative_trial_id"))
 
 

@@ -150,7 +150,7 @@ CTES = {
           coalesce(max(w * s) filter (where not is_inclusion), 0e0) as m_exc,
           count(*) filter (where is_inclusion) as n_inc, count(*) filter (where not is_inclusion) as n_exc
         from grid_l group by patient_id, trial_id""",
-    "labels_l": "select *, cast(m_inc >= 0.15e0 and m_exc < 0.8e0 as int) as y from dense_l",
+    "labels_l": "select *, cast(round(m_inc, 12) >= 0.15e0 and round(m_exc, 12) < 0.8e0 as int) as y from dense_l",
 }
 
 

@@ -15,6 +15,7 @@ from eligra.operators import resampling as rs
 from eligra.operators import splits as sp
 from eligra.plans.base import Inputs, Query, rounded, sql
 from eligra.plans.matching import EXTRA as MATCHING
+from eligra.session import materialize
 
 # Stage results of runs: one row per supplier nation (seed) and part brand (model), from real columns.
 RUNS = """
@@ -148,13 +149,14 @@ CAL_SQL = """
 
 
 def _strict_rows(s, d):
-    """Strict match as label, M_inc as score, over the pairs with a hit."""
+    """Strict match as label, M_inc as score, over all pairs of trials with something to assess."""
     i = Inputs(s, d)
     codes, criteria = i.codes(), i.criteria()
-    strict = mt.strict_pairs(criteria, codes).pairs
-    scores = mt.score_pairs(criteria, codes, "B").pairs
-    return strict.join(scores, ["patient_id", "trial_id"]).select(
-        "patient_id", "trial_id", F.col("matched").cast("int").alias("y"), F.round("m_inc", 6).alias("score"))
+    strict, scores = mt.strict_pairs(criteria, codes), mt.score_pairs(criteria, codes, "B")
+    y, score = F.col("matched").cast("int").alias("y"), F.round("m_inc", 6).alias("score")
+    both = mt.PairScores(strict.pairs.join(scores.pairs, ["patient_id", "trial_id"]).select("patient_id", "trial_id", y, score),
+                         strict.defaults.join(scores.defaults, "trial_id").select("trial_id", y, score).where("y is not null"))
+    return la.complete_pairs(both, i.patients())
 
 
 def _strict_accuracy(s, d):
@@ -249,12 +251,12 @@ def _dense_test(s, d):
 
 def _subsample(s, d):
     i, labels, p, t = _splits(s, d)
-    pairs = sp.split_pairs(labels, p, t).where("quadrant = 'train'").select("patient_id", "trial_id", "y")
+    pairs = materialize(sp.split_pairs(labels, p, t, ["train"]).select("patient_id", "trial_id", "y"))
     return sp.subsample_negatives(pairs, 7, neg_per_pos=2, max_pairs=20_000, min_negatives=1000)
 
 
 SUBSAMPLE_SQL = QUAD + """,
-    tr as (select patient_id, trial_id, y, md5('7|' || patient_id || '|' || trial_id) as h7, md5('8|' || patient_id || '|' || trial_id) as h8 from q where quadrant = 'train' and any_hit),
+    tr as (select patient_id, trial_id, y, md5('7|' || patient_id || '|' || trial_id) as h7, md5('8|' || patient_id || '|' || trial_id) as h8 from q where quadrant = 'train'),
     neg as (select *, row_number() over (order by h7, patient_id, trial_id) as r from tr where y = 0),
     kept as (select patient_id, trial_id, y, h8 from tr where y = 1
       union all select patient_id, trial_id, y, h8 from neg where r <= greatest(2 * greatest((select sum(y) from tr), 1), 1000))
@@ -293,7 +295,7 @@ UNIFORM_SQL = "(cast(('0x' || substr({h}, 1, 6)) as bigint) * 268435456e0 + cast
 
 def _negatives(s, d):
     i = Inputs(s, d)
-    pairs = la.label_pairs(i.scores("L")).pairs.where("y = 1").select("patient_id", "trial_id")
+    pairs = la.complete_pairs(la.label_pairs(i.scores("L")), i.patients()).where("y = 1").select("patient_id", "trial_id")
     drawn = sp.random_negative_trials(pairs, i.criteria(), 5, 4)
     return drawn.groupBy("patient_id", "trial_id").agg(
         F.count("*").alias("n"), F.countDistinct("negative_trial_id").alias("n_distinct"),
@@ -396,7 +398,7 @@ QUERIES = {
     "brier_ece": Query(_calibration, _q(CAL_SQL)),
     "strict_accuracy": Query(_strict_accuracy, _q("""
         select round(avg(cast((round(m_inc, 6) >= 0.5e0) = matched as int)), 6) as accuracy, count(*) as n_assessable
-        from strict_b s join dense_b b on s.patient_id = b.patient_id and s.trial_id = b.trial_id where s.any_hit""")),
+        from strict_b s join dense_b b on s.patient_id = b.patient_id and s.trial_id = b.trial_id""")),
     "strict_sweep": Query(_strict_sweep, _q(SWEEP_SQL)),
     "exact_quantiles": Query(_quantiles, """
         select unnest([0.01e0, 0.25e0, 0.5e0, 0.75e0, 0.99e0]) as prob, round(unnest(quantile_cont(l_extendedprice, [0.01e0, 0.25e0, 0.5e0, 0.75e0, 0.99e0])), 4) as quantile
@@ -417,7 +419,7 @@ QUERIES = {
     "random_scores": Query(_random_scores, _q("select pair_id, round(" + UNIFORM_SQL.format(h="md5('11|' || pair_id)") + ", 6) as score from scored_pairs")),
     "random_negative_trials": Query(_negatives, _q("""
         select patient_id, trial_id, least(5, (select count(distinct trial_id) - 1 from criteria)) as n,
-          least(5, (select count(distinct trial_id) - 1 from criteria)) as n_distinct, cast(0 as bigint) as n_own from labels_l where y = 1 and any_hit""")),
+          least(5, (select count(distinct trial_id) - 1 from criteria)) as n_distinct, cast(0 as bigint) as n_own from labels_l where y = 1""")),
     "bootstrap_ci": Query(_bootstrap, _q(BOOT_SQL)),
     "paired_bootstrap": Query(_paired, None),
     "sign_bootstrap": Query(_sign, None),

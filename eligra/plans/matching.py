@@ -86,25 +86,28 @@ def _q(body: str) -> str:
     return sql(body, EXTRA)
 
 
+def steady(scores: mt.PairScores, digits: int = 6) -> mt.PairScores:
+    return mt.PairScores(*(rounded(x, "m_inc", "m_exc", digits=digits) for x in (scores.pairs, scores.defaults)))
+
+
 def _pairs(rule: str, hierarchy: bool = False):
     def run(s, d):
         i = Inputs(s, d)
         closure = hi.ancestor_closure(i.view("hierarchy_edges")) if hierarchy else None
         scores = mt.score_pairs(i.criteria(), i.codes(), rule, closure)
-        # Rounded before the thresholds, so a sum taken in another order cannot tip a label.
-        cut = mt.PairScores(rounded(scores.pairs, "m_inc", "m_exc"), scores.defaults)
-        return la.label_pairs(cut).pairs
+        # Sums in another order differ in the last digits: 12 are kept for the labels, 6 of those shown, so ties cannot tip.
+        return steady(la.label_pairs(steady(scores, 12))).pairs
     return run
 
 
 def _pairs_sql(dense: str) -> str:
-    return _q(f"""select patient_id, trial_id, round(m_inc, 6) as m_inc, round(m_exc, 6) as m_exc,
-        cast(round(m_inc, 6) >= 0.15e0 and round(m_exc, 6) < 0.8e0 as int) as y from {dense} where any_hit""")
+    return _q(f"""select patient_id, trial_id, round(round(m_inc, 12), 6) as m_inc, round(round(m_exc, 12), 6) as m_exc,
+        cast(round(m_inc, 12) >= 0.15e0 and round(m_exc, 12) < 0.8e0 as int) as y from {dense} where any_hit""")
 
 
 def _labels(s, d):
     i = Inputs(s, d)
-    return i, la.label_pairs(i.scores("L"))
+    return i, la.label_pairs(steady(i.scores("L"), 12))
 
 
 def _defaults(s, d):
@@ -194,13 +197,14 @@ def _weak(s, d):
 
 def _hard_negatives(s, d):
     i, labels = _labels(s, d)
-    best = top_k(labels.pairs.where("y = 1"), ["patient_id"], [F.desc(F.round("m_inc", 9)), F.asc("trial_id")], 1)
-    return la.hard_negatives(labels.pairs, best.select("patient_id", "trial_id"))
+    pairs = la.complete_pairs(labels, i.patients())
+    best = top_k(pairs.where("y = 1"), ["patient_id"], [F.desc(F.round("m_inc", 9)), F.asc("trial_id")], 1)
+    return la.hard_negatives(pairs, best.select("patient_id", "trial_id"))
 
 
 def _top_patients(s, d):
     i, labels = _labels(s, d)
-    best = top_k(rounded(labels.pairs, "m_inc", digits=9), ["trial_id"], [F.desc("m_inc"), F.asc("patient_id")], 10)
+    best = top_k(rounded(la.complete_pairs(labels, i.patients()), "m_inc", digits=9), ["trial_id"], [F.desc("m_inc"), F.asc("patient_id")], 10)
     return rounded(best.select("trial_id", "patient_id", "rank", "m_inc"), "m_inc")
 
 
@@ -298,22 +302,23 @@ QUERIES = {
     "leakage_audit": Query(_leakage, _q(AUC_SQL)),
     "weak_pairs": Query(_weak, _q("select patient_id, trial_id from dense_a where m_inc >= 0.3e0")),
     "hard_negatives": Query(_hard_negatives, _q("""
-        with best as (select patient_id, trial_id from (
-          select *, row_number() over (partition by patient_id order by round(m_inc, 9) desc, trial_id) as r from labels_l where y = 1 and any_hit) t where r = 1)
-        select b.patient_id, b.trial_id, l.trial_id as negative_trial_id from best b join labels_l l on l.patient_id = b.patient_id
-        where l.m_inc >= 0.15e0 and l.m_exc >= 0.8e0 and l.trial_id <> b.trial_id and l.any_hit""")),
+        with scored as materialized (select patient_id, trial_id, m_inc, m_exc, y from labels_l),
+        best as (select patient_id, trial_id from (
+          select *, row_number() over (partition by patient_id order by round(m_inc, 9) desc, trial_id) as r from scored where y = 1) t where r = 1)
+        select b.patient_id, b.trial_id, l.trial_id as negative_trial_id from best b join scored l on l.patient_id = b.patient_id
+        where l.m_inc >= 0.15e0 and l.m_exc >= 0.8e0 and l.trial_id <> b.trial_id""")),
     "topk_patients_per_trial": Query(_top_patients, _q("""
         select trial_id, patient_id, cast(r as int) as rank, round(m, 6) as m_inc from (
           select *, round(m_inc, 9) as m, row_number() over (partition by trial_id order by round(m_inc, 9) desc, patient_id) as r
-          from dense_l where any_hit) t where r <= 10""")),
+          from dense_l) t where r <= 10""")),
     "pair_sanity": Query(_pair_sanity, _q("""
         select count(*) as n_pairs, round(avg(cast(m_inc > 0 as int)), 6) as share_inc, round(avg(cast(m_exc > 0 as int)), 6) as share_exc,
           round(avg(cast(m_inc > 0 and m_exc > 0 as int)), 6) as share_both, round(avg(m_inc), 6) as mean_inc,
           round(max(m_inc), 6) as max_inc, round(max(m_exc), 6) as max_exc from dense_l""")),
     "trial_sanity": Query(
-        lambda s, d: rounded(re_.trial_sanity(Inputs(s, d).scores("L").pairs, Inputs(s, d).patients().agg(F.count("*")).scalar()), "share_inc", "share_exc"),
-        _q("""select trial_id, round(count(*) filter (where any_hit and m_inc > 0) / count(*), 6) as share_inc,
-            round(count(*) filter (where any_hit and m_exc > 0) / count(*), 6) as share_exc from dense_l group by trial_id having bool_or(any_hit)""")),
+        lambda s, d: rounded(re_.trial_sanity(Inputs(s, d).scores("L"), Inputs(s, d).patients().agg(F.count("*")).scalar()), "share_inc", "share_exc"),
+        _q("""select trial_id, round(count(*) filter (where m_inc > 0) / count(*), 6) as share_inc,
+            round(count(*) filter (where m_exc > 0) / count(*), 6) as share_exc from dense_l group by trial_id""")),
     "coverage_rollup": Query(_coverage, _q("""
         with k as (select * from criteria_vocab where entity_type in ('diagnosis', 'medication', 'lab')),
         g as (select entity_type, count(*) filter (where in_vocab) as n_matched, count(*) filter (where not ph) as n_attempted,
