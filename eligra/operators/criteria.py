@@ -16,9 +16,9 @@ from eligra.functions import lexicon as lex
 from eligra.functions import text as tx
 from eligra.functions.codes import stable_unknown
 from eligra.operators.phrases import best_phrases, fuzzy_medications
+from eligra.operators.ranking import top_k
 from eligra.session import spread
 
-CONDITION_CODES_LIMIT = 400
 CONDITION_WEIGHT = 1.5
 OUTPUT = ("trial_id", "pos", "raw_entity", "entity_type", "entity_code", "operator", "value", "max_value",
           "is_inclusion", "severity_weight")
@@ -70,16 +70,17 @@ def criteria_lines(trials: DataFrame, dialect: str = "D") -> DataFrame:
     return df.select("trial_id", F.inline(body)).where(_is_kept(F.col("line"), dialect))
 
 
-def condition_codes(cohort_codes: DataFrame, limit: int = CONDITION_CODES_LIMIT) -> DataFrame:
-    """(phrase, code): cohort diagnosis codes under the category of each known phrase, smallest first."""
+def condition_codes(cohort_codes: DataFrame, limit: int | None = None) -> DataFrame:
+    """(phrase, code): cohort diagnosis codes under the category of each known phrase, the ``limit`` smallest if one is given."""
     phrases = F.explode(F.map_entries(F.create_map(*[F.lit(x) for kv in lex.CONDITION_PREFIXES.items() for x in kv])))
     codes = cohort_codes.select("code").distinct()
     prefixes = sorted(set(lex.CONDITION_PREFIXES.values()))
-    kept = codes.where(F.substring("code", 1, 3).isin(*prefixes)).groupBy(F.substring("code", 1, 3).alias("prefix")).agg(
-        F.slice(F.array_sort(F.collect_list("code")), 1, limit).alias("codes"))
+    kept = codes.where(F.substring("code", 1, 3).isin(*prefixes)).select(F.substring("code", 1, 3).alias("prefix"), "code")
+    if limit is not None:
+        kept = top_k(kept, ["prefix"], [F.asc("code")], limit)
     # The phrase table is a constant; rows come from the cohort side.
-    wide = kept.select("prefix", "codes", phrases.alias("p")).where(F.col("p.value") == F.col("prefix"))
-    return wide.select(F.col("p.key").alias("phrase"), F.explode("codes").alias("code"))
+    wide = kept.select("prefix", "code", phrases.alias("p")).where(F.col("p.value") == F.col("prefix"))
+    return wide.select(F.col("p.key").alias("phrase"), "code")
 
 
 def first_condition_code(cohort_codes: DataFrame) -> Column:
@@ -123,7 +124,7 @@ def parse_terms(trials: DataFrame, cohort_codes: DataFrame, exclusion_as_absence
     absent = ~is_lab & ~is_med & is_dx & ~F.col("is_inclusion") & F.lit(exclusion_as_absence)
     plain = F.struct(F.when(absent, "NOT_EXISTS").otherwise("EXISTS").alias("operator"), none.alias("value"), none.alias("max_value"))
     bounds = F.when(is_lab, tx.bounds_patterns(F.col("line"))).otherwise(plain)
-    rows = _finish(df, kind, code, bounds, F.substring("line", 1, 400))
+    rows = _finish(df, kind, code, bounds, F.col("line"))
     if "conditions" not in trials.columns:
         return rows
     return rows.unionByName(registered_conditions(trials, cohort_codes))
@@ -172,7 +173,7 @@ def parse_dictionary(trials: DataFrame, concepts: DataFrame, fuzzy: bool = True)
     line = F.col("line")
     digits = F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint") % 100000
     code = F.coalesce("matched_code", F.concat(F.lit("UNMATCHED_"), F.lpad(digits.cast("string"), 5, "0")))
-    return _finish(df, F.coalesce("matched_type", tx.guess_type(line)), code, tx.bounds_first_number(line), F.substring(line, 1, 200))
+    return _finish(df, F.coalesce("matched_type", tx.guess_type(line)), code, tx.bounds_first_number(line), line)
 
 
 def parse_operator_words(trials: DataFrame, concepts: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -210,7 +211,7 @@ def parse_keywords(trials: DataFrame) -> DataFrame:
     df = criteria_lines(trials, "E").withColumn("_clean", tx.strip_bullet(F.col("line")))
     code = F.concat(F.lit("EXTRACTED_"), F.substring(F.md5("_clean"), 1, 8))
     return _finish(df, tx.guess_type(F.col("line"), with_taking=True), code,
-                   tx.bounds_first_number(F.col("line"), unicode_signs=True), F.substring("_clean", 1, 200))
+                   tx.bounds_first_number(F.col("line"), unicode_signs=True), F.col("_clean"))
 
 
 def parse_criteria(trials: DataFrame, dialect: str = "D", concepts: DataFrame | None = None,

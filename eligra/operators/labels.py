@@ -133,9 +133,7 @@ def round_robin_pairs(patients: DataFrame, trials: DataFrame) -> DataFrame:
 def weak_pairs(scores: PairScores, patients: DataFrame, tau_inc: float = 0.01) -> DataFrame:
     """Weak positives, or the round-robin pairing when there are none."""
     found = weak_positives(scores, patients, tau_inc).select("patient_id", "trial_id")
-    n_found = found.limit(1).agg(F.count("*")).scalar()
-    fallback = round_robin_pairs(patients, scores.defaults).where(n_found == 0)
-    return found.unionByName(fallback)
+    return round_robin_pairs(patients, scores.defaults) if found.isEmpty() else found
 
 
 def hard_negatives(pairs: DataFrame, positives: DataFrame, tau_inc: float = TAU_INC, tau_exc: float = TAU_EXC) -> DataFrame:

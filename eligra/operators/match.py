@@ -27,7 +27,6 @@ ANCESTOR_SCORE = 0.8
 DESCENDANT_SCORE = 0.6
 # Absence exclusions of one trial that fit into the bit masks; see aggregate_pairs.
 MASK_BITS = 62
-MASK_WORDS = 4
 
 
 @dataclass(frozen=True)
@@ -236,13 +235,16 @@ def _exclusion(rule: Rule, best: Column, total: Column, exp_sum: Column, n_hits:
 
 def aggregate_pairs(hits: DataFrame, defaults: DataFrame, rule: Rule,
                     temperature: float = EXCLUSION_TEMPERATURE, salt: int | None = None,
-                    mask_words: int = MASK_WORDS) -> DataFrame:
+                    mask_words: int | None = None) -> DataFrame:
     """M_inc and M_exc of every pair with a hit.
 
     All terms are sums, maxima and bit masks, so Spark combines them in a hash table before the
-    shuffle. The masks say which absence exclusions were hit, ``mask_words`` x 62 of them; a trial
-    with more raises an error that asks for more words instead of giving a wrong score.
+    shuffle. The masks say which absence exclusions were hit, ``mask_words`` x 62 of them: as many as the trial with most of
+    them needs, unless given. A trial with more than given raises an error instead of a wrong score.
     """
+    if mask_words is None:
+        most = defaults.agg(F.max("n_exc_absent")).first()[0] or 0
+        mask_words = max(1, -(-most // MASK_BITS))
     inc, w, s, absent = F.col("is_inclusion"), F.col("severity_weight"), F.col("s"), F.col("kind") == "absence"
     boosted = F.exp(s / F.lit(temperature))
     zero = F.lit(0.0)

@@ -145,9 +145,10 @@ def inclusion_balance(criteria: DataFrame, text: Column | None = None) -> DataFr
         F.sum("s").alias("n_suspicious"))
 
 
-def code_magnets(criteria: DataFrame, min_texts: int = MAGNET_TEXTS, text: str = "raw_entity", width: int = 50) -> DataFrame:
+def code_magnets(criteria: DataFrame, min_texts: int = MAGNET_TEXTS, text: str = "raw_entity", width: int | None = None) -> DataFrame:
     """Codes that gather too many different texts, a sign of a phrase that matches anything."""
-    pairs = criteria.select("entity_code", F.substring(text, 1, width).alias("t")).distinct()
+    texts = F.col(text) if width is None else F.substring(text, 1, width)
+    pairs = criteria.select("entity_code", texts.alias("t")).distinct()
     return pairs.groupBy("entity_code").agg(F.count("t").alias("n_texts")).where(F.col("n_texts") > min_texts)
 
 

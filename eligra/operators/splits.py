@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from eligra.functions.hashing import draw_key, uniform
 from eligra.operators.labels import complete_pairs
 from eligra.operators.match import PairScores
-from eligra.operators.ranking import position, range_bin, shuffled_position
+from eligra.operators.ranking import position, range_bin, shuffled_position, top_k
 
 FRACTIONS = (0.70, 0.15, 0.15)
 NEG_PER_POS = 20
@@ -47,15 +47,15 @@ def partition_ids(ids: DataFrame, key: str, seed: int, fractions: Sequence[float
     return ranked.select(key, *groups, _split_name(F.col("pos"), F.col("_size"), fractions, rounding).alias("split"))
 
 
-def prevalence_bins(prevalence: DataFrame, n_bins: int = PREVALENCE_BINS) -> DataFrame:
+def prevalence_bins(prevalence: DataFrame, n_bins: int = PREVALENCE_BINS, min_per_bin: int = 0) -> DataFrame:
     """Stratum of each trial by quantile of its share of eligible patients (trial_id, prevalence).
 
-    One bin when there are fewer than three trials per bin.
+    With ``min_per_bin``, one bin when there are fewer trials per bin than that (0: never).
     """
     edges = prevalence.agg(F.percentile("prevalence", F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)]))).scalar()
     n = prevalence.agg(F.count("*")).scalar()
     return prevalence.withColumn("_edges", edges).withColumn("_n", n).select(
-        "trial_id", F.when(F.col("_n") < 3 * n_bins, 0).otherwise(
+        "trial_id", F.when(F.col("_n") < min_per_bin * n_bins, 0).otherwise(
             F.size(F.filter("_edges", lambda e: e <= F.col("prevalence")))).alias("bin"))
 
 
@@ -148,33 +148,33 @@ def prefix_split(trials: DataFrame, seq: str = "seq", fraction: float = 0.8, bin
     return ranked.withColumn("split", F.when(F.col("pos") < F.floor(F.col("_n") * fraction), "train").otherwise("eval")).drop("pos", "_n")
 
 
-def random_negative_trials(pairs: DataFrame, trials: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` different trials per pair, drawn from all trials other than its own; all others if there are fewer.
+def ring_draws(rows: DataFrame, keys: Sequence[str], trials: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` different trials for each distinct row, or all trials if there are fewer: keys and trial_id.
 
-    Trials stand on a ring in an order shuffled by the seed. A pair's draws come from ``n`` + 1 arcs of the ring as even as the number of
-    trials allows, one place in each by a seeded hash, starting at a hash of the pair: places cannot repeat, so none is drawn twice and
-    the own trial can be among them once. It is left out, or else one arc is, again by hash. Ids may be of any type.
+    Trials stand on a ring in an order shuffled by the seed. Draws come from ``n`` arcs of the ring as even as the number of trials allows,
+    one place in each by a seeded hash, all turned by a hash of the row: places cannot repeat, so none is drawn twice. Ids may be
+    of any type.
     """
-    indexed = shuffled_position(trials.select("trial_id").distinct(), ["trial_id"], seed).select(
-        F.col("trial_id").alias("negative_trial_id"), F.col("pos").cast("bigint").alias("_pos"))
+    indexed = shuffled_position(trials.select("trial_id").distinct(), ["trial_id"], seed).select("trial_id", F.col("pos").cast("bigint").alias("_pos"))
     n_trials = trials.agg(F.countDistinct("trial_id")).scalar()
-    pair = (F.col("patient_id"), F.col("trial_id"))
-    arcs = F.least(F.lit(n + 1).cast("bigint"), F.col("_n"))
+    row = [F.col(k) for k in keys]
     low, high = (F.floor(F.col("_n") * k / F.col("_arcs")) for k in (F.col("_arc"), F.col("_arc") + 1))
-    drawn = (
-        pairs.select("patient_id", "trial_id").distinct().withColumn("_n", n_trials).withColumn("_arcs", arcs)
-        .withColumn("_arc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_arcs") - 1)))
-        .withColumn("_turn", F.floor(uniform(seed, *pair, F.lit("turn")) * F.col("_n")))
-        .withColumn("_in", low + F.floor(uniform(seed, *pair, F.col("_arc")) * (high - low)))
-        .withColumn("_pos", (F.col("_in") + F.col("_turn")) % F.col("_n"))
+    return (
+        rows.select(*keys).distinct().withColumn("_n", n_trials).withColumn("_arcs", F.least(F.lit(n).cast("bigint"), F.col("_n")))
+        .where("_arcs > 0").withColumn("_arc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_arcs") - 1)))
+        .withColumn("_turn", F.floor(uniform(seed, *row, F.lit("turn")) * F.col("_n")))
+        .withColumn("_pos", (low + F.floor(uniform(seed, *row, F.col("_arc")) * (high - low)) + F.col("_turn")) % F.col("_n"))
+        .join(indexed, "_pos").select(*keys, "trial_id")
     )
-    found = drawn.join(indexed, "_pos").withColumn("_own", F.col("negative_trial_id") == F.col("trial_id"))
-    order = F.array_sort(F.collect_list(F.struct((~F.col("_own")).alias("a"), draw_key(seed, *pair, F.col("_arc")).alias("b"), "negative_trial_id", "_own")))
-    # n + 1 draws at most: the own trial stands first, if it is among them, and goes; else the first draw does.
-    kept = found.groupBy("patient_id", "trial_id").agg(order.alias("_all"), F.max("_n").alias("_n")).withColumn(
-        "_all", F.when((F.size("_all") > n) | F.col("_all")[0]["_own"], F.slice("_all", 2, n)).otherwise(F.col("_all")))
-    return kept.select("patient_id", "trial_id", F.explode("_all").alias("_e")).select(
-        "patient_id", "trial_id", F.col("_e.negative_trial_id").alias("negative_trial_id"))
+
+
+def random_negative_trials(pairs: DataFrame, trials: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` different trials per pair, drawn from all trials other than its own; all others if there are fewer."""
+    own = pairs.select("patient_id", F.col("trial_id").alias("own"))
+    drawn = ring_draws(own, ["patient_id", "own"], trials, n + 1, seed).where(F.col("trial_id") != F.col("own"))
+    drawn = drawn.withColumn("_key", draw_key(seed, F.col("patient_id"), F.col("own"), F.col("trial_id")))
+    kept = top_k(drawn, ["patient_id", "own"], [F.asc("_key"), F.asc("trial_id")], n)
+    return kept.select("patient_id", F.col("own").alias("trial_id"), F.col("trial_id").alias("negative_trial_id"))
 
 
 def edge_drop(edges: DataFrame, rate: float, seed: int, ids: Sequence[str] = ("relation", "src", "dst")) -> DataFrame:

@@ -217,7 +217,7 @@ def _trial_split(s, d):
 TRIAL_SPLIT_SQL = """
     with prev as (select trial_id, avg(y) as p from labels_l group by trial_id),
     e as (select quantile_cont(p, [0.25, 0.5, 0.75]) as edges, count(*) as n from prev),
-    b as (select trial_id, case when n < 12 then 0 else len(list_filter(edges, lambda x: x <= p)) end as bin from prev, e),
+    b as (select trial_id, len(list_filter(edges, lambda x: x <= p)) as bin from prev, e),
     r as (select *, row_number() over (partition by bin order by md5('1|' || cast(trial_id as varchar)), trial_id) - 1 as pos, count(*) over (partition by bin) as n from b)
     select trial_id, cast(bin as int) as bin, case when pos < round_even(0.7e0 * n, 0) then 'train' when pos < round_even(0.7e0 * n, 0) + round_even(0.15e0 * n, 0) then 'val' else 'test' end as split
     from r"""
@@ -357,7 +357,7 @@ WILCOXON_SQL = """
         select w.model, least(w_plus, w_minus) as s, m, list_sum(list_transform(range(1, k + 1), lambda i: case when (m >> cast(i - 1 as bigint)) & 1 = 1 then rs[i] else 0 end)) as tot
         from w, lateral (select unnest(range(cast(pow(2, k) as bigint))) as m) z) q where tot <= s + 1e-9 group by model)
     select a.model, count(*) as n, round(avg(d), 6) as mean_diff, max(w_plus) as w_plus, max(w_minus) as w_minus, max(least(w_plus, w_minus)) as statistic,
-      round(max(case when k <= 12 then least(1e0, 2 * hits / pow(2, k)) end), 6) as p_value, round(2 / pow(2, count(*)), 6) as min_attainable_p
+      round(max(least(1e0, 2 * hits / pow(2, k))), 6) as p_value, round(2 / pow(2, count(*)), 6) as min_attainable_p
     from p a join w on w.model = a.model join c on c.model = a.model group by a.model"""
 
 

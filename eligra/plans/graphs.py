@@ -18,7 +18,7 @@ EXTRA = {
     select a.subject_id as src, b.subject_id as dst, count(*) as n_shared
     from (select distinct icd10_code, subject_id from dx_clean) a join (select distinct icd10_code, subject_id from dx_clean) b
       on a.icd10_code = b.icd10_code and a.subject_id <> b.subject_id
-    where a.icd10_code in (select icd10_code from dx_clean group by 1 having count(distinct subject_id) between 2 and 500)
+    where a.icd10_code in (select icd10_code from dx_clean group by 1 having count(distinct subject_id) > 1)
     group by 1, 2 having count(*) >= 2""",
     "bridge": """
     select icd10_code, ndc, count(*) as n_admissions from (select distinct hadm_id, icd10_code from dx_clean) d
@@ -156,7 +156,7 @@ def _visits(s, d):
 
 VISITS_SQL = """
     with h as (select distinct subject_id, hadm_id from (select subject_id, hadm_id from dx_clean union all select subject_id, hadm_id from rx_clean) u),
-    k as (select * from (select *, row_number() over (partition by subject_id order by hadm_id) as r from h) x where r <= 20),
+    k as (select * from h),
     dx as (select hadm_id, string_agg(c, '+' order by c) as s from (select distinct hadm_id, icd10_code as c from dx_clean) q group by 1),
     rx as (select hadm_id, string_agg(c, '+' order by c) as s from (select distinct hadm_id, ndc as c from rx_clean) q group by 1),
     lb as (select subject_id, string_agg(cast(itemid as varchar), '+' order by itemid) as s from (select distinct subject_id, itemid from labs_cohort) q group by 1)

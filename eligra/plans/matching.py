@@ -354,8 +354,8 @@ QUERIES = {
     "matching_trials": Query(_with(qu.matching_trials), _q("select distinct trial_id from criteria where entity_code in (select code from pcodes)")),
     "code_magnets": Query(
         lambda s, d: qu.code_magnets(Inputs(s, d).criteria().withColumn("raw_entity", F.concat_ws(" ", "trial_id", "criterion_idx"))),
-        _q("""select entity_code, count(distinct substr(cast(trial_id as varchar) || ' ' || cast(criterion_idx as varchar), 1, 50)) as n_texts
-            from criteria group by 1 having count(distinct substr(cast(trial_id as varchar) || ' ' || cast(criterion_idx as varchar), 1, 50)) > 15""")),
+        _q("""select entity_code, count(distinct cast(trial_id as varchar) || ' ' || cast(criterion_idx as varchar)) as n_texts
+            from criteria group by 1 having count(distinct cast(trial_id as varchar) || ' ' || cast(criterion_idx as varchar)) > 15""")),
     "conflicting_bounds": Query(
         lambda s, d: qu.conflicting_bounds(Inputs(s, d).criteria(), "entity_code"),
         _q("""select trial_id, lower(entity_code) as entity, count(distinct operator || '|' || cast(value as varchar)) as n_bounds

@@ -309,7 +309,7 @@ QUERIES = {
         x as (select t.*, case """ + " ".join(f"when contains(low, '{k}') then '{v}'" for k, v in lex.LAB_TERMS.items()) + """ end as lab,
           case """ + " ".join(f"when contains(low, '{m}') then '{m}'" for m in lex.MEDICATION_TERMS) + """ end as med, f.dx
           from t left join f on f.trial_id = t.trial_id and f.pos = t.pos)
-        select trial_id, pos, substr(line, 1, 400) as raw_entity, case when lab is not null then 'lab' when med is not null then 'medication' else 'diagnosis' end as entity_type,
+        select trial_id, pos, line as raw_entity, case when lab is not null then 'lab' when med is not null then 'medication' else 'diagnosis' end as entity_type,
           case when lab is not null then lab when med is not null then 'UNK_MED_' || substr(md5(med), 1, 8) when dx is not null then dx else 'UNK_DIA_' || substr(md5(line), 1, 8) end as entity_code,
           case when lab is not null then operator when med is null and dx is not null and not is_inclusion then 'NOT_EXISTS' else 'EXISTS' end as operator,
           case when lab is not null then value end as value, case when lab is not null then max_value end as max_value, is_inclusion, 1e0 as severity_weight from x""")),
@@ -317,7 +317,7 @@ QUERIES = {
         with n as (select *, lower(line) as low, list_transform(regexp_extract_all(line, """ + NUM + """), lambda x: cast(x as double)) as v from matched_a),
         o as (select *, case when len(v) = 0 then 'EXISTS' when contains(line, '>') or contains(low, 'greater than') then 'GT' when contains(line, '<') or contains(low, 'less than') then 'LT'
             when contains(line, '=') or contains(low, 'equal') then 'EQ' when contains(low, 'between') and len(v) >= 2 then 'BETWEEN' else 'EXISTS' end as operator from n)
-        select trial_id, pos, substr(line, 1, 200) as raw_entity,
+        select trial_id, pos, line as raw_entity,
           case when admin then 'administrative' when manual_code is not null then 'diagnosis' else coalesce(entity_type, """ + _case_contains("low", lex.TYPE_KEYWORDS, "diagnosis") + """) end as entity_type,
           case when admin then 'NON_CLINICAL' else coalesce(manual_code, entity_code, 'UNMATCHED_' || lpad(cast(cast(('0x' || substr(md5(line), 1, 8)) as bigint) % 100000 as varchar), 5, '0')) end as entity_code,
           operator, case when operator <> 'EXISTS' then v[1] end as value, cast(null as double) as max_value, is_inclusion, 1e0 as severity_weight from o""")),
@@ -359,7 +359,7 @@ QUERIES = {
         "select matched_term, count(*) as n from (" + CONDITION_SQL.replace("with t as", "with tt as").replace("join t on", "join tt on") + ") z group by 1 order by n desc, 1 limit 10")),
     "condition_codes": Query(lambda s, d: cr.condition_codes(_dx_codes(s, d)), _q(f"""
         select phrase, code from (select phrase, code, row_number() over (partition by phrase order by code) as r
-          from (values {_values(lex.CONDITION_PREFIXES.items())}) v(phrase, prefix) join (select distinct code from pcodes where entity_type = 'diagnosis') c on starts_with(code, prefix)) t where r <= 400""")),
+          from (values {_values(lex.CONDITION_PREFIXES.items())}) v(phrase, prefix) join (select distinct code from pcodes where entity_type = 'diagnosis') c on starts_with(code, prefix)) t""")),
     "registered_conditions": Query(
         lambda s, d: cr.registered_conditions(_registered(s, d), _dx_codes(s, d)).select("trial_id", "raw_entity", "entity_code", "severity_weight"), _q(f"""
         select trial_id, condition as raw_entity, code as entity_code, 1.5e0 as severity_weight from registered

@@ -56,8 +56,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def default_salt(spark: SparkSession) -> int:
-    """How many ways a hot key is split: grows with the cluster, 1 (no salt) on a laptop."""
-    return max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 16))
+    """How many ways keys are split by hand: ``eligra.salt`` of the session, else 1, the same at every size.
+
+    Without salt, adaptive execution splits the partitions that it measures as skewed.
+    """
+    return int(spark.conf.get("eligra.salt", "1"))
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt: int, spread_by: list[str],

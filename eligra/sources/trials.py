@@ -92,7 +92,7 @@ def structured_trials(records: DataFrame, keep: str = "first", coerce_types: boo
             code = normalize_code(kind, code)
             kind = F.when(kind.isin(*ENTITY_TYPES), kind).otherwise("diagnosis")
         return F.struct(
-            F.substring(F.coalesce(c["raw_entity"], F.lit("")), 1, 400).alias("raw_entity"), kind.alias("entity_type"),
+            F.coalesce(c["raw_entity"], F.lit("")).alias("raw_entity"), kind.alias("entity_type"),
             code.alias("entity_code"), operator_name(c["operator"]).alias("operator"), finite_double(c["value"]).alias("value"),
             finite_double(c["max_value"]).alias("max_value"), F.coalesce(c["is_inclusion"], F.lit(True)).alias("is_inclusion"),
             F.coalesce(c["severity_weight"], c["weight"], F.lit(1.0)).alias("severity_weight"))
