@@ -27,9 +27,21 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Rows of an Arrow batch of whole texts.
+TEXTS_PER_BATCH = 500
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches are held to ``TEXTS_PER_BATCH`` rows: ten thousand long texts would not fit a worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXTS_PER_BATCH:
+        conf.set(key, str(TEXTS_PER_BATCH))
+    return df
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame:
     """The columns an operator reads, under its own names; a null text counts as empty. Other columns are left behind."""
-    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
+    return bound_batches(docs).select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
                        *[docs[c].alias(name) for name, c in more.items()])
 
 

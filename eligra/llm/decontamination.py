@@ -29,7 +29,7 @@ class Hashes(dict):
 
 def hashed(text: str, known: Hashes) -> np.ndarray:
     """Hashes of the words in lower case."""
-    if len(known) > 1_000_000:
+    if len(known) > 300_000:
         known.clear()
     words = TOKEN.findall(text.lower())
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -83,7 +83,7 @@ def _doc_seeds(of_items, short_lengths: list[int]):
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
         spans = [(k, len(m)) for k, m in enumerate(MASKS)] + [(None, n) for n in short_lengths]
-        for pdf in (p[i:i + 500] for p in parts for i in range(0, len(p), 500)):
+        for pdf in parts:
             words = [hashed(t, known) for t in pdf["text"]]
             ends = np.cumsum([len(w) for w in words])
             flat = np.concatenate(words) if words else np.empty(0, np.uint64)

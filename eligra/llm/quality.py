@@ -15,7 +15,7 @@ WORDS = 64  #: words of a passage
 GRAMS = 256  #: slots of hashed byte pairs
 HIDDEN, GATE = 32, 16
 #: Bytes encoded at a time; a longer text is encoded in parts, cut between passages.
-PIECE = 4 << 20
+PIECE = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 CLASSES = ("upper", "lower", "digit", "space", "symbol", "high")

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from eligra.llm.common import components, fresh, texts
+from eligra.llm.common import bound_batches, components, fresh, texts
 from eligra.session import materialize
 
 BITS = 64
 #: Shingles hashed before their bits are counted, so that a very long text needs no more memory than this.
-PIECE = 65_536
+PIECE = 16_384
 
 
 def fingerprint_of(text: str, words: int = 4) -> int:
@@ -149,7 +149,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     text_hash, count, component = fresh(docs, "text_hash", "n", "component_id")
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = bound_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(slim.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
                                    fingerprint(F.coalesce("text", F.lit("")), options.get("words", 4)).alias("fp")))
     nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))

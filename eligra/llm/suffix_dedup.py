@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eligra.llm.common import bitmap, in_bitmap
+from eligra.llm.common import bitmap, bound_batches, in_bitmap
 from eligra.session import materialize
 
 LENGTH, REACH = 200, 120
@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     core in more than ``CROWD`` different contexts would fill a task: its strings are counted by a 128-bit hash instead.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.cast("binary").alias("body"))
+    rows = bound_batches(docs).select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.cast("binary").alias("body"))
     long = rows.where(F.octet_length("body") >= LENGTH).select("k1", "k2", "body")
     counted = long.select("body").mapInPandas(_core_hashes, "hc bigint").groupBy("hc").agg(F.count("*").alias("n")).where("n > 1").select("hc")
     found = materialize(long.mapInPandas(_contexts(bitmap(materialize(counted), "hc")),

@@ -19,7 +19,7 @@ TOKEN = re.compile(r"\w+")
 SLOTS = 1 << 18
 FEATURES = 7
 #: Tokens tagged at a time: the chain of a batch of texts; a longer text is one chain of its own.
-CHAIN = 300_000
+CHAIN = 150_000
 
 
 def features(word: str) -> list[int]:
@@ -195,7 +195,7 @@ class Emissions(dict):
 
 def _tag(model: dict, words: list[list[str]], cache: Emissions | None = None) -> list[np.ndarray]:
     cache = Emissions(model) if cache is None else cache
-    if len(cache) > 1_000_000:
+    if len(cache) > 300_000:
         cache.clear()
     out: list[np.ndarray] = []
     held: list[list[str]] = []
