@@ -31,14 +31,14 @@ EXCLUSION_WORDS = {"was": "pneumonia", "for": "chronic kidney disease", "on": "i
 views.VIEWS.update({
     "clinical_text": f"""
         select doc_id as trial_id, 'Inclusion Criteria:' || chr(10) || {_swap('text', INCLUSION_WORDS)} || chr(10) || 'Exclusion Criteria:' || chr(10) || {_swap('text', EXCLUSION_WORDS)} as eligibility_criteria
-        from documents where lang = 'en'""",
+        from documents""",
     "concept_titles": """
         select item_id as seq, cast(item_id as string) as icd9_code, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) as long_title, split_part(text, ' ', 3) as short_title
         from benchmark""",
-    "concept_drugs": "select doc_id as seq, split_part(text, ' ', 3) as drug, cast(doc_id as string) || '.0' as ndc from documents where lang = 'en'",
+    "concept_drugs": "select doc_id as seq, split_part(text, ' ', 3) as drug, cast(doc_id as string) || '.0' as ndc from documents",
     "concept_labs": """
         select d.doc_id as seq, d.doc_id as itemid, split_part(text, ' ', 5) || ' ' || split_part(text, ' ', 6) as label, split_part(text, ' ', 1) as fluid
-        from documents d join labels l on d.doc_id = l.doc_id where lang = 'en'""",
+        from documents d join labels l on d.doc_id = l.doc_id""",
     "registered": """
         select o_orderkey as trial_id, o_orderpriority as phase, case o_orderkey % 9 when 0 then 'Heart failure; unspecified' when 1 then 'Type 2 Diabetes' when 2 then 'leukemia' when 3 then 'T2DM, HTN'
           when 4 then 'Staff safety' when 5 then 'Acute MI' when 6 then 'CKD|Renal insufficiency' when 7 then 'Pneumonitis' else o_orderstatus end as condition
@@ -231,7 +231,7 @@ def _synonyms(s, d):
 SYNONYM_SQL = r"""
     with v as (select * from (values """ + _values((k, c, len(k), i) for i, (k, c) in enumerate(lex.CLINICAL_SYNONYMS.items())) + r""") v(k, c, len, ord)),
     b as (select * from (select l.trial_id, l.pos, v.k, v.c, row_number() over (partition by l.trial_id, l.pos order by len desc, ord) as r
-      from lines_d l join v on contains(lower(l.line), v.k) and regexp_matches(lower(l.line), '\b' || regexp_escape(v.k) || '\b')) q where r = 1)
+      from lines_d l join v on contains(lower(l.line), v.k) and regexp_matches(lower(l.line), '(^|[^\p{L}\p{N}_])' || regexp_escape(v.k) || '($|[^\p{L}\p{N}_])')) q where r = 1)
     select l.trial_id, l.pos, b.k as synonym, b.c as code, case """ + " ".join(f"when contains(lower(line), '{k}') then '{c}'" for k, c in lex.RECODE_BY_PHRASE.items()) + r""" else 'KEEP' end as recoded
     from lines_d l left join b on b.trial_id = l.trial_id and b.pos = l.pos"""
 

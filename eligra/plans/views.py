@@ -73,7 +73,7 @@ VIEWS = {
         select doc_id as trial_id, 'Inclusion Criteria:' || chr(10) || text || chr(10) || 'Exclusion Criteria:' || chr(10)
           || 'creatinine ' || (case cast(doc_id % 5 as int) when 0 then '>= ' when 1 then '< ' when 2 then 'between 1 and '
                when 3 then 'at least ' else 'no more than ' end) || cast(doc_id % 30 + 2 as string) || ' mg' as eligibility_criteria
-        from documents where lang = 'en'""",
+        from documents""",
 }
 
 
