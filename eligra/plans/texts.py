@@ -228,10 +228,12 @@ def _synonyms(s, d):
                      tx.recode_by_phrase(F.col("line"), F.lit("KEEP")).alias("recoded"))
 
 
+# A letter beyond ASCII is part of a word, which \\b does not know in DuckDB: one stands in for all of them.
 SYNONYM_SQL = r"""
-    with v as (select * from (values """ + _values((k, c, len(k), i) for i, (k, c) in enumerate(lex.CLINICAL_SYNONYMS.items())) + r""") v(k, c, len, ord)),
+    with plain as (select *, regexp_replace(lower(line), '[À-ÖØ-öø-ɏͰ-ϿЀ-ӿ]', 'x', 'g') as plain from lines_d),
+    v as (select * from (values """ + _values((k, c, len(k), i) for i, (k, c) in enumerate(lex.CLINICAL_SYNONYMS.items())) + r""") v(k, c, len, ord)),
     b as (select * from (select l.trial_id, l.pos, v.k, v.c, row_number() over (partition by l.trial_id, l.pos order by len desc, ord) as r
-      from lines_d l join v on contains(lower(l.line), v.k) and regexp_matches(lower(l.line), '(^|[^\p{L}\p{N}_])' || regexp_escape(v.k) || '($|[^\p{L}\p{N}_])')) q where r = 1)
+      from plain l join v on contains(l.plain, v.k) and regexp_matches(l.plain, '\b' || regexp_escape(v.k) || '\b')) q where r = 1)
     select l.trial_id, l.pos, b.k as synonym, b.c as code, case """ + " ".join(f"when contains(lower(line), '{k}') then '{c}'" for k, c in lex.RECODE_BY_PHRASE.items()) + r""" else 'KEEP' end as recoded
     from lines_d l left join b on b.trial_id = l.trial_id and b.pos = l.pos"""
 
