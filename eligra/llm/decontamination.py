@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from eligra.llm.common import bitmap, fresh, in_bitmap, texts
 from eligra.session import materialize
 
-#: Token positions that count (1) and that may differ (0). Eight of twelve to fourteen words; no two shifts agree in many.
-MASKS = ("111011011011", "1101101001110001", "11100110010100011", "1110001011010011")
+#: Token positions that count (1) and that may differ (0). Every stretch of 13 words or more that begins and ends in equal words and
+#: is 80 % alike holds one of them in equal words, wherever its other words are (shown in the tests): no such overlap goes unverified.
+MASKS = ("111111", "11101011", "11001000111", "1101000001101")
+COVERED = (13, 0.8)
 TOKEN = re.compile(r"\w+")
 
 
@@ -35,15 +37,50 @@ def hashed(text: str, known: Hashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(words: np.ndarray, masks=MASKS) -> list[np.ndarray]:
+def whole_masks(n: int, same: float) -> list[str]:
+    """Masks of ``n`` words, one of which any sequence fits that is ``same`` alike and equal in its first and last word.
+
+    Of one more piece of the inner words than may differ, one is equal.
+    """
+    cuts = int((1 - same) * n + 1e-9) + 1
+    inner = max(0, n - 2)
+    edges = [inner * k // cuts for k in range(cuts + 1)]
+    return list(dict.fromkeys("".join("1" if i in (0, n - 1) or lo < i <= hi else "0" for i in range(n)) for lo, hi in zip(edges, edges[1:])))
+
+
+def long_masks(least: int, same: float) -> tuple[str, ...]:
+    """Masks for overlaps of ``least`` words: ``MASKS`` where they cover the rule, else the run of equal words that no overlap can be without."""
+    if least >= COVERED[0] and same >= COVERED[1]:
+        return MASKS
+    runs = []
+    for n in range(least, least + 2_000):
+        odd = int((1 - same) * n + 1e-9)
+        runs.append(-(-(n - odd) // (odd + 1)))
+    return ("1" * max(1, min(runs)),)
+
+
+Shape = tuple[int, str]
+
+
+def shapes(least: int, same: float, n: int | None = None) -> list[Shape]:
+    """Numbered masks of items of ``n`` words, fewer than an overlap has and so compared whole, or (None) of all longer ones."""
+    return list(enumerate(long_masks(least, same))) if n is None else [(64 * n + k, m) for k, m in enumerate(whole_masks(n, same))]
+
+
+def longest_whole(least: int, same: float) -> int:
+    """Items of up to so many words are compared whole; longer ones hold a long mask wherever they overlap enough."""
+    return (COVERED[0] if long_masks(least, same) == MASKS else least) - 1
+
+
+def seeds(words: np.ndarray, masks: list[Shape]) -> list[np.ndarray]:
     """For each mask, the hash of its counted words at every place where it fits."""
     out = []
-    for k, mask in enumerate(masks):
-        n, h = len(words) - len(mask) + 1, None
+    for k, mask in masks:
+        n = len(words) - len(mask) + 1
         if n < 1:
             out.append(np.empty(0, np.uint64))
             continue
-        h = np.full(n, 0x9E3779B97F4A7C15 + k, np.uint64)
+        h = np.full(n, (0x9E3779B97F4A7C15 + k) % (1 << 64), np.uint64)
         for i, bit in enumerate(mask):
             if bit == "1":
                 h = (h ^ words[i:i + n]) * np.uint64(0xFF51AFD7ED558CCD)
@@ -52,43 +89,33 @@ def seeds(words: np.ndarray, masks=MASKS) -> list[np.ndarray]:
     return out
 
 
-def _item_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known = Hashes()
-    for pdf in parts:
-        rows = []
-        for item, text in zip(pdf["item_id"], pdf["text"]):
-            words = hashed(text, known)
-            for k, h in enumerate(seeds(words)):
-                rows += [(item, i, int(v), len(words)) for i, v in enumerate(h.view(np.int64))]
-            if len(words) < max(map(len, MASKS)):  # too short for some mask: its first words stand for the item
-                rows += [(item, 0, int(v), len(words)) for v in _windows(words, len(words)).view(np.int64)] if len(words) else []
-        yield pd.DataFrame(rows, columns=["item_id", "at", "seed", "n"])
-
-
-def _windows(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each stretch of ``n`` words, all of which count: the seed of an item too short for the masks."""
-    m = len(words) - n + 1
-    if m < 1:
-        return np.empty(0, np.uint64)
-    h = np.full(m, 0xC2B2AE3D27D4EB4F + n, np.uint64)
-    for i in range(n):
-        h = (h ^ words[i:i + m]) * np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(32)
-    return h
-
-
-def _doc_seeds(of_items, short_lengths: list[int]):
+def _item_rows(least: int, same: float):
+    def rows_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, whole = Hashes(), longest_whole(least, same)
+        for pdf in parts:
+            rows = []
+            for item, text in zip(pdf["item_id"], pdf["text"]):
+                words = hashed(text, known)
+                if len(words):
+                    for h in seeds(words, shapes(least, same, len(words) if len(words) <= whole else None)):
+                        rows += [(item, i, int(v), len(words)) for i, v in enumerate(h.view(np.int64))]
+            yield pd.DataFrame(rows, columns=["item_id", "at", "seed", "n"])
+
+    return rows_of
+
+
+def _doc_seeds(of_items, masks: list[Shape]):
     """Places of a text whose seed may be one of a benchmark. Texts are hashed together; a seed that runs over an end is left out."""
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
-        spans = [(k, len(m)) for k, m in enumerate(MASKS)] + [(None, n) for n in short_lengths]
         for pdf in parts:
             words = [hashed(t, known) for t in pdf["text"]]
             ends = np.cumsum([len(w) for w in words])
             flat = np.concatenate(words) if words else np.empty(0, np.uint64)
             docs, rids, out = pdf["doc_id"].to_numpy(), pdf["rid"].to_numpy(), []
-            for h, (_, n) in zip(seeds(flat) + [_windows(flat, n) for n in short_lengths], spans):
+            for mask in masks:
+                (h,), n = seeds(flat, [mask]), len(mask[1])
                 at = np.flatnonzero(in_bitmap(of_items.value, h))
                 row = np.searchsorted(ends, at, side="right")
                 inside = at + n <= ends[row] if len(at) else np.zeros(0, bool)
@@ -164,7 +191,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Words are runs of word characters in lower case. A seed hashes the words that a mask counts; documents meet benchmark
     items by an equi-join on seeds. Around each hit, both are compared word by word on its diagonal: an overlap has ``least``
     words or more (all of a shorter item), begins and ends in equal words, and ``same`` of its words are equal. The longest
-    one of a pair is returned. Items too short for a mask are matched whole, word for word.
+    one of a pair is returned. The masks hit every such overlap; items of fewer words have masks of their own length.
 
     A bitmap of bounded size, made of the benchmark's seeds, keeps other seeds of the documents from being shuffled, and one of
     the documents that met an item keeps other texts from it. Null texts and texts without words have no row, null ids
@@ -173,7 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     tests = benchmark.select(benchmark[item_col].alias("item_id"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("text")).distinct()
     item_type, doc_type = benchmark.schema[item_col].dataType, docs.schema[id_col].dataType
     as_text = tests.select(F.col("item_id").cast("string"), "text")  # ids pass pandas as text: integers and nulls would become floating point
-    items = materialize(as_text.mapInPandas(_item_rows, "item_id string, at int, seed bigint, n int"))
+    items = materialize(as_text.mapInPandas(_item_rows(least, same), "item_id string, at int, seed bigint, n int"))
 
     def words_of(parts):
         known = Hashes()
@@ -181,9 +208,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             yield pd.DataFrame({"item_id": pdf["item_id"], "item_words": [hashed(t, known).view(np.int64).tolist() for t in pdf["text"]]})
 
     full = materialize(as_text.mapInPandas(words_of, "item_id string, item_words array<bigint>"))
-    shorter = [r.n for r in items.where(F.col("n") < max(map(len, MASKS))).select("n").distinct().collect()]
+    shorter = [r.n for r in items.where(F.col("n") <= longest_whole(least, same)).select("n").distinct().collect()]
+    masks = shapes(least, same) + [m for n in sorted(shorter) for m in shapes(least, same, n)]
     rows = texts(docs, id_col, text_col).select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("rid"), "text")
-    hits = rows.mapInPandas(_doc_seeds(bitmap(items, "seed"), sorted(shorter)), "doc_id string, rid bigint, place int, seed bigint")
+    hits = rows.mapInPandas(_doc_seeds(bitmap(items, "seed"), masks), "doc_id string, rid bigint, place int, seed bigint")
     met = hits.join(items, "seed").select("doc_id", "rid", "item_id", "n", (F.col("place") - F.col("at")).alias("diagonal")).distinct()
     by_doc = materialize(met.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("item_id", "n", "diagonal")).alias("met")))
     of_docs = bitmap(by_doc, "rid")

@@ -72,3 +72,66 @@ def test_empty_tables(tables):
     assert dc.leaks(docs.where("false"), items).count() == 0
     assert dc.leaks(docs, items.where("false")).count() == 0
     assert dc.clean(docs, items.where("false")).count() == docs.count()
+
+
+def test_masks_hit_every_overlap():
+    """The best score (+1 for an equal word, -4 for another) of any sequence that no mask fits, worked out over all of them, is negative."""
+    span = max(map(len, dc.MASKS))
+    ids = np.arange(1 << span)
+    free = np.ones(1 << span, bool)
+    for mask in dc.MASKS:
+        free &= (ids & int(mask, 2)) != int(mask, 2)
+
+    def scores(start, upto):
+        best = start
+        for _ in range(upto):
+            b = np.maximum(best[:1 << (span - 1)], best[1 << (span - 1):])
+            best = np.full(1 << span, -10**6)
+            best[0::2], best[1::2] = b - 4, b + 1
+            best[~free] = -10**6
+            yield best
+
+    first = np.full(1 << span, -10**6)
+    first[1] = 1
+    for n, best in enumerate(scores(first, 200), start=2):
+        assert n < 13 or best[1::2].max() < 0
+    anywhere = [b.max() for b in scores(np.where(free, 0, -10**6), 60)]
+    assert anywhere[59] < 0 and 3 * anywhere[59] + max(anywhere) < 0  # so longer ones are negative too
+
+
+@pytest.mark.parametrize("same", [0.8, 0.7, 1.0])
+def test_masks_of_whole_short_items(same):
+    for n in range(1, 13):
+        masks = [int(m, 2) for m in dc.whole_masks(n, same)]
+        for bits in range(1 << n):
+            if bits & 1 and bits >> (n - 1) and bits.bit_count() >= same * n - 1e-9:
+                assert any(bits & m == m for m in masks)
+
+
+@pytest.mark.parametrize(("least", "same"), [(13, 0.8), (9, 0.75)])
+def test_equals_search_of_all_diagonals(spark, least, same):
+    """Random substitutions up to the limit in passages of any length, short items too."""
+    rng = random.Random(12)
+    items = {i: rng.choices(WORDS, k=n) for i, n in enumerate([*range(3, 40), 60])}
+    docs = {}
+    for d in range(300):
+        words = items[rng.choice(list(items))]
+        n = rng.randint(min(13, len(words)), len(words))
+        at = rng.randint(0, len(words) - n)
+        part = list(words[at:at + n])
+        for i in rng.sample(range(n), min(n, round(0.2 * n) + rng.randint(-1, 1)) if n > 4 else 0):
+            part[i] = f"other{i}"
+        docs[d] = rng.choices(WORDS, k=20) + part + rng.choices(WORDS, k=20)
+    code = {w: k for k, w in enumerate(sorted({w for ws in [*items.values(), *docs.values()] for w in ws}))}
+    want = set()
+    for d, words in docs.items():
+        a = np.array([code[w] for w in words])
+        for i, item in items.items():
+            b = np.array([code[w] for w in item])
+            for diagonal in range(-len(b) + 1, len(a)):
+                lo, hi = max(0, diagonal), min(len(a), diagonal + len(b))
+                if dc.overlap(a[lo:hi], b[lo - diagonal:hi - diagonal], min(least, len(b)), same):
+                    want.add((d, i))
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.leaks(frame, tests, least=least, same=same).collect()} == want
