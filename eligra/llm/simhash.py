@@ -146,15 +146,19 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows of one id are told apart by their text; of rows equal in both, one stays. Rows without an id have no
     component_id to be kept by and stay only if their whole component has none (then the smallest text hash stays).
     """
-    text_hash, count, component = fresh(docs, "text_hash", "n", "component_id")
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     slim = bound_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(slim.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
                                    fingerprint(F.coalesce("text", F.lit("")), options.get("words", 4)).alias("fp")))
     nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
-    roots = components(links(nodes, options.get("distance", 4), options.get("bucket", 512)))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return least_rows(docs, rows, nodes, links(nodes, options.get("distance", 4), options.get("bucket", 512)), id_col, text_col)
+
+
+def least_rows(docs: DataFrame, rows: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of ``docs`` with the least (none, doc_id, text_hash) of each component of ``nodes`` (fp, best) under ``edges`` (a, b)."""
+    text_hash, count, component = fresh(docs, "text_hash", "n", "component_id")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    nodes = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = nodes.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.text_hash")
     repeats = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     kept = (best.join(repeats, best["doc_id"].eqNullSafe(repeats["doc_id"]) & (best["text_hash"] == repeats["text_hash"]))
