@@ -99,6 +99,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: A key with more than one in so many of all rows is split by ``hot_join``; so at most that many keys are.
+HOT = 500
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with the one row that ``groups`` has of each key, hot keys dealt over several tasks.
+
+    ``groups`` (materialized) counts the rows of each key in ``n``. Keys of over a ``HOT``-th of all of them, ``HOT`` keys at most
+    and therefore broadcast, are cut into parts of that size by the hash of ``spread``; their row of ``groups`` goes to each part.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    limit = max(64, total // HOT)
+    parts = F.ceil(F.col(n) / limit).cast("int")
+    hot = groups.where(F.col(n) > limit).select(*keys, parts.alias("_parts"))
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0).cast("long")).cast("int")).drop("_parts")
+    spots = groups.withColumn("_part", F.explode(F.when(F.col(n) > limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
+    return marked.join(spots, [*keys, "_part"], how).drop("_part")
+
+
 #: Bitmaps have 2 ** MOST_BITS slots at most: 16 megabytes.
 MOST_BITS = 27
 

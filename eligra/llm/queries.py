@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eligra.llm import decontamination, mixing, neighbours, pii, quality, secret_scan, simhash, suffix_dedup, toxicity, url_filter
+from eligra.llm import (alignment, decontamination, importance, mixing, neighbours, pii, quality, secret_scan, simhash, substring_dedup, suffix_dedup,
+                        toxicity, url_filter)
 
 
+TOKENIZERS = "/opt/tokenizers"
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -59,6 +61,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.tag(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), run=1, buckets=10_000, percent=10, least_words=20, seed="2024")
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_neighbours": op2_neighbours,
@@ -70,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
+    "op11_importance": op11_importance,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_alignment": op13_alignment,
 }
 
 def _either_case(words: str) -> str:
@@ -124,6 +141,40 @@ ORACLES: dict[str, str] = {
         sums as (select rn, cast(sum(e - s) as bigint) as n_removed, count(*) as n_spans from runs group by rn)
         select doc_id, octet_length(b) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
           coalesce(kept, sha256(b)) as kept_sha256 from t left join sums using (rn) left join kept using (rn)""",
+    "op11_importance": """
+        with d as (select row_number() over () as rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+        b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+        dw as (select rn, unnest(w) as word from d), bw as (select unnest(w) as word from b),
+        known as (select distinct word from (select word from dw union all select word from bw)),
+        crc as (select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(encode(word))),
+              lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint)),
+              lambda c, x: list_reduce(list_prepend(xor(c, x), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+                lambda y, z: xor(y >> 1, case when y & 1 = 1 then 3988292384::bigint else 0 end))), 4294967295::bigint) % 10000 as bucket from known),
+        s as (select bucket, count(*) as n from dw join crc using (word) group by bucket),
+        t as (select bucket, count(*) as n from bw join crc using (word) group by bucket),
+        g as (select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from dw) + 10000)
+              / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from bw) + 10000))))::bigint as gain
+          from (select distinct bucket from crc) left join s using (bucket) left join t using (bucket)),
+        sums as (select rn, sum(gain)::bigint as total from dw join crc using (word) join g using (bucket) group by rn),
+        scored as (select rn, doc_id, len(w)::bigint as n_features, coalesce(floor(total / len(w)), 0)::bigint as weight,
+            ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from d left join sums using (rn)),
+        full_score as (select rn, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from scored),
+        places as (select rn, row_number() over (order by score desc, doc_id nulls last) as place, count(*) over () as n from full_score where n_features >= 20)
+        select doc_id, n_features, weight, score, case when place <= n * 10 // 100 then place end as rank from full_score left join places using (rn)""",
+    "op12_substring_dedup": """
+        with t as (select row_number() over () as rn, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        p as (select rn, doc_id, w, unnest(range(0, len(w) - 49)) as i from t where len(w) >= 50),
+        k as (select rn, doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) as h from p),
+        least as (select h, min(doc_id) as first from k group by h),
+        gone as (select rn, i from k join least using (h) where doc_id > first),
+        lost as (select distinct rn, i + j as pos from gone, range(0, 50) r(j)),
+        words as (select rn, unnest(w) as word, unnest(range(0, len(w))) as pos from t),
+        kept as (select rn, string_agg(word, ' ' order by pos) as kept from words anti join lost using (rn, pos) group by rn),
+        sums as (select rn, count(*) as n from lost group by rn)
+        select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from t left join kept using (rn) left join sums using (rn)""",
     "op7_url_filter": f"""
         with rules(verdict, rule) as (values {", ".join(f"('{v}', '{h}{p}')" for v, h, p in URL_RULES)}),
         rest as (select page_id, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end as r from pages),
