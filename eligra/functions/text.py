@@ -194,7 +194,7 @@ def is_negated_near(text: Column, entity: Column, window: int = 25) -> Column:
 
     When the entity is not in the text, anywhere in the text.
     """
-    words = r"\b" + any_of(lex.NEGATION_WORDS) + r"\b"
+    words = r"(?U)\b" + any_of(lex.NEGATION_WORDS) + r"\b"
     at = F.instr(F.lower(text), F.lower(entity))
     start = F.greatest(at - 1 - window, F.lit(0))
     end = at - 1 + F.length(entity) + window
@@ -207,7 +207,7 @@ def is_negated_before(text: Column, span_start: Column, window: int = 40) -> Col
     before = F.substring(text, 1, span_start)
     near = F.when(span_start > window, F.substring(before, span_start - window + 1, F.lit(window))).otherwise(before)
     sentence = F.regexp_extract(near, r"([^.?!]*)$", 1)
-    return F.lower(sentence).rlike(r"\b" + any_of(lex.NEGATION_TRIGGERS) + r"\b")
+    return F.lower(sentence).rlike(r"(?U)\b" + any_of(lex.NEGATION_TRIGGERS) + r"\b")
 
 
 def nearest_entity(text: Column, candidates: Column, start: Column, end: Column) -> Column:

@@ -136,8 +136,14 @@ def weak_pairs(scores: PairScores, patients: DataFrame, tau_inc: float = 0.01) -
     return round_robin_pairs(patients, scores.defaults) if found.isEmpty() else found
 
 
-def hard_negatives(pairs: DataFrame, positives: DataFrame, tau_inc: float = TAU_INC, tau_exc: float = TAU_EXC) -> DataFrame:
-    """Trials that look right on inclusion but meet an exclusion, other than the positive one. ``pairs`` may be complete."""
-    wrong = pairs.where((F.col("m_inc") >= tau_inc) & (F.col("m_exc") >= tau_exc)).select(
-        "patient_id", F.col("trial_id").alias("negative_trial_id"))
-    return positives.join(wrong, "patient_id").where(F.col("negative_trial_id") != F.col("trial_id"))
+def hard_negatives(scores: PairScores, positives: DataFrame, tau_inc: float = TAU_INC, tau_exc: float = TAU_EXC) -> DataFrame:
+    """Trials that look right on inclusion but meet an exclusion, other than the positive one, hit or not.
+
+    Pairs without a hit are spelled out only for trials whose default score makes all of them hard negatives; each of those is a row of the result.
+    """
+    wrong = f"m_inc >= {tau_inc} and m_exc >= {tau_exc}"
+    by_default = scores.defaults.where(wrong)
+    own = scores.pairs.join(by_default.select("trial_id"), "trial_id", "left_anti").where(wrong).select("patient_id", "trial_id")
+    rest = complete_pairs(scores, positives.select("patient_id").distinct(), condition=wrong).where(wrong).select("patient_id", "trial_id")
+    found = own.unionByName(rest).withColumnRenamed("trial_id", "negative_trial_id")
+    return positives.join(found, "patient_id").where(F.col("negative_trial_id") != F.col("trial_id"))

@@ -27,6 +27,8 @@ ANCESTOR_SCORE = 0.8
 DESCENDANT_SCORE = 0.6
 # Absence exclusions of one trial that fit into the bit masks; see aggregate_pairs.
 MASK_BITS = 62
+# Type in which weights are added and taken away without rounding.
+EXACT = "decimal(28,18)"
 
 
 @dataclass(frozen=True)
@@ -153,6 +155,15 @@ def expand_hierarchy(criteria: DataFrame, closure: DataFrame) -> DataFrame:
     return exact.unionByName(up).unionByName(down)
 
 
+HIT_KEYS = ("patient_id", "trial_id", "criterion_idx", "is_inclusion", "severity_weight", "kind", "absent_rank")
+
+
+def hit_score(rule: Rule, value: Column, bound: Column, code_score: Column, delta: float = 1.0) -> Column:
+    """Score of a criterion whose code the patient carries with ``value``."""
+    return (F.when(F.col("kind") == "presence", code_score).when(F.col("kind") == "absence", F.lit(0.0))
+            .otherwise(lab_score(F.col("operator"), value, bound, F.col("max_value"), rule.flavour, delta)))
+
+
 def criterion_hits(usable: DataFrame, codes: DataFrame, rule: Rule, closure: DataFrame | None = None,
                    salt: int | None = None, delta: float = 1.0) -> DataFrame:
     """One row per (patient, trial, criterion) whose code the patient carries, with score ``s``.
@@ -170,16 +181,10 @@ def criterion_hits(usable: DataFrame, codes: DataFrame, rule: Rule, closure: Dat
                        F.col("lookup_type").alias("entity_type"), F.col("match_code").alias("code"))
     salt = default_salt(codes.sparkSession) if salt is None else salt
     hits = salted_join(codes, wide, ["entity_type", "code"], salt, ["patient_id"])
-    score = (
-        F.when(F.col("kind") == "presence", F.col("code_score"))
-        .when(F.col("kind") == "absence", F.lit(0.0))
-        .otherwise(lab_score(F.col("operator"), F.col("value"), F.col("bound"), F.col("max_value"), rule.flavour, delta))
-    )
-    keys = ["patient_id", "trial_id", "criterion_idx", "is_inclusion", "severity_weight", "kind", "absent_rank"]
-    hits = hits.withColumn("s", score)
+    hits = hits.withColumn("s", hit_score(rule, F.col("value"), F.col("bound"), F.col("code_score"), delta))
     if closure is None:
-        return hits.select(*keys, "s")
-    return hits.groupBy(*keys).agg(F.max("s").alias("s"))
+        return hits.select(*HIT_KEYS, "s")
+    return hits.groupBy(*HIT_KEYS).agg(F.max("s").alias("s"))
 
 
 def trial_defaults(usable: DataFrame, trials: DataFrame, rule: Rule) -> DataFrame:
@@ -189,29 +194,29 @@ def trial_defaults(usable: DataFrame, trials: DataFrame, rule: Rule) -> DataFram
     is bounded by the criteria of one trial.
     """
     inc, w, absent = F.col("is_inclusion"), F.col("severity_weight"), F.col("kind") == "absence"
+    exact = w.cast(EXACT)
     per_trial = usable.groupBy("trial_id").agg(
         F.count_if(inc).alias("n_inc"), F.count_if(~inc).alias("n_exc"),
         F.coalesce(F.sum(F.when(inc, w)), F.lit(0.0)).alias("w_inc"),
-        F.coalesce(F.sum(F.when(inc & absent, w)), F.lit(0.0)).alias("w_inc_absent"),
+        F.coalesce(F.sum(F.when(inc & absent, exact)), F.lit(0)).alias("w_inc_absent"),
         F.count_if(inc & absent).alias("n_inc_absent"),
-        F.coalesce(F.sum(F.when(~inc & absent, w)), F.lit(0.0)).alias("w_exc_absent"),
+        F.coalesce(F.sum(F.when(~inc & absent, exact)), F.lit(0)).alias("w_exc_absent"),
         F.count_if(~inc & absent).alias("n_exc_absent"),
         F.array_sort(F.collect_list(F.when(~inc & absent, F.struct(F.col("absent_rank").alias("rank"), w.alias("w"))))).alias("absent_exc"),
     )
-    zero = {"n_inc": 0, "n_exc": 0, "w_inc": 0.0, "w_inc_absent": 0.0, "w_exc_absent": 0.0, "n_inc_absent": 0, "n_exc_absent": 0}
+    zero = {"n_inc": 0, "n_exc": 0, "w_inc": 0.0, "w_inc_absent": 0, "w_exc_absent": 0, "n_inc_absent": 0, "n_exc_absent": 0}
     df = trials.select("trial_id").join(per_trial, "trial_id", "left").fillna(zero)
     none = F.lit(0.0)
     return df.select(
         *df.columns,
-        _inclusion(rule, F.col("w_inc_absent")).alias("m_inc"),
-        _exclusion(rule, none, F.col("w_exc_absent"), none, F.lit(0), F.coalesce(F.get("absent_exc", 0)["w"], none)).alias("m_exc"),
+        _inclusion(rule, F.col("w_inc_absent").cast("double")).alias("m_inc"),
+        _exclusion(rule, none, F.col("w_exc_absent").cast("double"), none, F.lit(0), F.coalesce(F.get("absent_exc", 0)["w"], none)).alias("m_exc"),
     )
 
 
 def _still_absent(side: str) -> Column:
-    """Weight of the absence criteria without a hit; exactly 0 when all of them were hit."""
-    return F.when(F.col(f"{side}_gone_n") == F.col(f"n_{side}_absent"), 0.0).otherwise(
-        F.col(f"w_{side}_absent") - F.col(f"{side}_gone_w"))
+    """Weight of the absence criteria without a hit. Decimals, so that taking weights away leaves the sum of the others to the last bit."""
+    return (F.col(f"w_{side}_absent") - F.col(f"{side}_gone_w")).cast("double")
 
 
 def _inclusion(rule: Rule, total: Column) -> Column:
@@ -257,8 +262,8 @@ def aggregate_pairs(hits: DataFrame, defaults: DataFrame, rule: Rule,
     # A hit on an absence criterion scores 0 and takes its weight out of the baseline.
     agg = hits.groupBy("patient_id", "trial_id").agg(
         total(inc, w * s).alias("inc_sum"), total(~inc, w * s).alias("exc_sum"),
-        total(inc & absent, w).alias("inc_gone_w"), F.count_if(inc & absent).alias("inc_gone_n"),
-        total(~inc & absent, w).alias("exc_gone_w"), F.count_if(~inc & absent).alias("exc_gone_n"),
+        F.coalesce(F.sum(F.when(inc & absent, w.cast(EXACT))), F.lit(0)).alias("inc_gone_w"),
+        F.coalesce(F.sum(F.when(~inc & absent, w.cast(EXACT))), F.lit(0)).alias("exc_gone_w"),
         F.coalesce(F.max(F.when(~inc, w * s)), zero).alias("exc_best"),
         total(~inc, boosted).alias("exc_exp"), total(~inc, boosted * s).alias("exc_wexp"),
         F.count_if(~inc).alias("exc_hits"),

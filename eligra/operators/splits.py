@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligra.functions.hashing import draw_key, uniform
+from eligra.functions.permutation import permuted
 from eligra.operators.labels import complete_pairs
 from eligra.operators.match import PairScores
 from eligra.operators.ranking import position, range_bin, shuffled_position, top_k
+from eligra.session import materialize
 
 FRACTIONS = (0.70, 0.15, 0.15)
 NEG_PER_POS = 20
@@ -122,6 +124,51 @@ def subsample_negatives(pairs: DataFrame, seed: int, ids: Sequence[str] = ("pati
     return take_first(kept, max_pairs, seed + 1, ids)
 
 
+def draw_negatives(labels: PairScores, patients: DataFrame, trials: DataFrame, n: int, seed: int) -> DataFrame:
+    """(patient_id, trial_id, draw): ``n`` different pairs with label 0 of all pairs of the two tables, or all of these if there are fewer.
+
+    Pairs are numbered by the places of their ids, and a keyed permutation of these numbers is the order of draws; the first n
+    that turn out negative are taken. Only drawn pairs become rows: as many again as positives are met, counted once and then drawn in one go.
+    """
+    patients, trials = patients.select("patient_id").distinct(), trials.select("trial_id").distinct()
+    n_patients, n_trials = patients.count(), trials.count()
+    total = n_patients * n_trials
+    by_patient = position(patients, ["patient_id"], range_bin(patients, "patient_id")).withColumnRenamed("pos", "_p")
+    by_trial = position(trials, ["trial_id"], range_bin(trials, "trial_id")).withColumnRenamed("pos", "_t")
+    y0 = labels.defaults.select("trial_id", F.col("y").alias("_y0"))
+    asked = n
+    while True:
+        asked = min(total, asked + asked // 8 + 64)
+        number = permuted(F.col("id"), total, seed) if total else F.lit(0)
+        drawn = patients.sparkSession.range(asked).select(F.col("id").alias("draw"), number.alias("_pair")).select(
+            "draw", F.floor(F.col("_pair") / max(1, n_trials)).alias("_p"), (F.col("_pair") % max(1, n_trials)).alias("_t"))
+        drawn = drawn.join(by_patient, "_p").join(by_trial, "_t").join(y0, "trial_id").select("patient_id", "trial_id", "draw", "_y0")
+        known = drawn.select("patient_id", "trial_id").join(labels.pairs.select("patient_id", "trial_id", "y"), ["patient_id", "trial_id"])
+        negative = materialize(drawn.join(known, ["patient_id", "trial_id"], "left").where(F.coalesce("y", "_y0") == 0).select("patient_id", "trial_id", "draw"))
+        found = negative.count()
+        if found >= n or asked == total:
+            break
+        asked = max(asked, int(n * asked / max(1, found)))
+    return position(negative, ["draw"], F.floor(F.col("draw") * 256 / max(1, asked))).where(F.col("pos") < n).drop("pos")
+
+
+def sample_training_pairs(labels: PairScores, patients: DataFrame, trials: DataFrame, seed: int, neg_per_pos: int = NEG_PER_POS,
+                          max_pairs: int = MAX_TRAIN_PAIRS, min_negatives: int = MIN_NEGATIVES) -> DataFrame:
+    """``subsample_negatives`` over all pairs of the two tables, hit or not, without spelling them out: (patient_id, trial_id, y).
+
+    All positives are rows: those with a hit, and the pairs of trials that take everybody by default. Negatives are drawn.
+    """
+    ours = PairScores(labels.pairs.join(patients.select("patient_id").distinct(), "patient_id", "left_semi").join(
+        trials.select("trial_id").distinct(), "trial_id", "left_semi"), labels.defaults.join(trials.select("trial_id").distinct(), "trial_id", "left_semi"))
+    by_default = ours.defaults.where("y = 1").select("trial_id")
+    own = ours.pairs.join(by_default, "trial_id", "left_anti").where("y = 1").select("patient_id", "trial_id")
+    rest = complete_pairs(ours, patients, condition="y = 1").where("y = 1").select("patient_id", "trial_id")
+    positive = materialize(own.unionByName(rest).withColumn("y", F.lit(1)))
+    wanted = max(neg_per_pos * max(positive.count(), 1), min_negatives)
+    negative = draw_negatives(ours, patients, trials, wanted, seed).select("patient_id", "trial_id", F.lit(0).alias("y"))
+    return take_first(positive.unionByName(negative), max_pairs, seed + 1, ["patient_id", "trial_id"])
+
+
 def stratified_cap(pairs: DataFrame, max_pairs: int, seed: int, ids: Sequence[str] = ("patient_id", "trial_id")) -> DataFrame:
     """At most ``max_pairs`` rows, at most half of them positive; the rest is filled with negatives."""
     n_pos = pairs.agg(F.coalesce(F.sum("y"), F.lit(0))).scalar()

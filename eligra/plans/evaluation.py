@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
+from eligra.functions.permutation import permuted_sql
 from eligra.operators import labels as la
 from eligra.operators import match as mt
 from eligra.operators import metrics as me
@@ -15,7 +15,6 @@ from eligra.operators import resampling as rs
 from eligra.operators import splits as sp
 from eligra.plans.base import Inputs, Query, rounded, sql
 from eligra.plans.matching import EXTRA as MATCHING
-from eligra.session import materialize
 
 # Stage results of runs: one row per supplier nation (seed) and part brand (model), from real columns.
 RUNS = """
@@ -250,17 +249,20 @@ def _dense_test(s, d):
 
 
 def _subsample(s, d):
-    i, labels, p, t = _splits(s, d)
-    pairs = materialize(sp.split_pairs(labels, p, t, ["train"]).select("patient_id", "trial_id", "y"))
-    return sp.subsample_negatives(pairs, 7, neg_per_pos=2, max_pairs=20_000, min_negatives=1000)
+    _, labels, p, t = _splits(s, d)
+    return sp.sample_training_pairs(labels, p.where("split = 'train'"), t.where("split = 'train'"), 7, neg_per_pos=2, max_pairs=20_000, min_negatives=1000)
 
 
+# The pairs of the training quadrant by number, and where the permutation puts each draw.
 SUBSAMPLE_SQL = QUAD + """,
-    tr as (select patient_id, trial_id, y, md5('7|' || patient_id || '|' || trial_id) as h7, md5('8|' || patient_id || '|' || trial_id) as h8 from q where quadrant = 'train'),
-    neg as (select *, row_number() over (order by h7, patient_id, trial_id) as r from tr where y = 0),
-    kept as (select patient_id, trial_id, y, h8 from tr where y = 1
-      union all select patient_id, trial_id, y, h8 from neg where r <= greatest(2 * greatest((select sum(y) from tr), 1), 1000))
-    select patient_id, trial_id, y from (select *, row_number() over (order by h8, patient_id, trial_id) as r from kept) k where r <= 20000"""
+    tr as materialized (select patient_id, trial_id, y, dense_rank() over (order by patient_id) - 1 as pp, dense_rank() over (order by trial_id) - 1 as tt from q where quadrant = 'train'),
+    size as (select count(*) as n, count(distinct trial_id) as nt, cast(ceil(sqrt(count(*))) as bigint) as fa from tr),
+    dim as (select *, (n + fa - 1) // fa as fb from size),
+    draws as (select draw, """ + permuted_sql("draw", "n", "fa", "fb", 7) + """ as pair, nt from dim, range((select n from size)) r(draw)),
+    neg as (select patient_id, trial_id, y, row_number() over (order by draw) as r from draws join tr on pp = pair // nt and tt = pair % nt where y = 0),
+    kept as (select patient_id, trial_id, y from tr where y = 1
+      union all select patient_id, trial_id, y from neg where r <= greatest(2 * greatest((select sum(y) from tr), 1), 1000))
+    select patient_id, trial_id, y from (select *, row_number() over (order by md5('8|' || patient_id || '|' || trial_id), patient_id, trial_id) as r from kept) k where r <= 20000"""
 
 
 def _capped(s, d):
@@ -302,20 +304,46 @@ def _negatives(s, d):
         F.count_if(F.col("negative_trial_id") == F.col("trial_id")).alias("n_own"))
 
 
+#: Draws of the bootstrap queries.
+N_BOOT = 1000
+
+
 def _bootstrap(s, d):
-    return rounded(rs.cluster_bootstrap_ci(_scored(s, d), "group_id", n_boot=200), "roc_auc_lo", "roc_auc_hi", "average_precision_lo", "average_precision_hi")
+    return rounded(rs.cluster_bootstrap_ci(_scored(s, d), "group_id", n_boot=N_BOOT), "roc_auc_lo", "roc_auc_hi", "average_precision_lo", "average_precision_hi")
 
 
-BOOT_SQL = """
+def _draws_sql(scores: str) -> str:
+    """CTEs up to m (b, name, auc, ap): both metrics of every draw; ``scores`` gives group_id, y, name, score."""
+    return """
     with c as (select group_id, row_number() over (order by md5(cast(group_id as varchar))) - 1 as pos, count(*) over () as n from (select distinct group_id from scored_pairs) g),
-    dr as (select b, cast(floor(""" + UNIFORM_SQL.format(h="md5('0|' || b || '|' || k)") + """ * n) as bigint) as pos
-      from range(200) r(b), range((select count(*) from c)) s(k), (select max(n) as n from c) m),
+    dr as (select b, cast(floor(""" + UNIFORM_SQL.format(h="md5('0|' || b || '|' || k)") + f""" * n) as bigint) as pos
+      from range({N_BOOT}) r(b), range((select count(*) from c)) s(k), (select max(n) as n from c) m),
     w as (select b, group_id, count(*) as times from dr join c on c.pos = dr.pos group by 1, 2),
-    h as (select b, score, cast(sum(times * y) as double) as n_pos, cast(sum(times * (1 - y)) as double) as n_neg from w join scored_pairs p on p.group_id = w.group_id group by 1, 2),
-    u as (select *, sum(n_pos) over x as cp, sum(n_neg) over x as cn from h window x as (partition by b order by score desc)),
-    m as (select b, sum(n_neg * (cp - n_pos / 2)) / (sum(n_pos) * sum(n_neg)) as auc, sum(n_pos * cp / (cp + cn)) / sum(n_pos) as ap from u group by b having sum(n_pos) > 0 and sum(n_neg) > 0)
+    sc as materialized ({scores}),
+    h as (select b, name, score, cast(sum(times * y) as double) as n_pos, cast(sum(times * (1 - y)) as double) as n_neg from w join sc p on p.group_id = w.group_id group by 1, 2, 3),
+    u as (select *, sum(n_pos) over x as cp, sum(n_neg) over x as cn from h window x as (partition by b, name order by score desc)),
+    m as materialized (select b, name, sum(n_neg * (cp - n_pos / 2)) / (sum(n_pos) * sum(n_neg)) as auc, sum(n_pos * cp / (cp + cn)) / sum(n_pos) as ap from u group by b, name having sum(n_pos) > 0 and sum(n_neg) > 0)"""
+
+
+TWO_SQL = """select p.group_id, p.y, unnest(['score_a', 'score_b', 'score_c']) as name,
+        unnest([p.score, d.n_chars % 57 / 56e0, (p.score + d.n_chars % 57 / 56e0) / 2]) as score from scored_pairs p join documents d on d.doc_id = p.pair_id"""
+BOOT_SQL = _draws_sql("select group_id, y, 's' as name, score from scored_pairs") + """
     select count(*) as n_valid, round(quantile_cont(auc, 0.025), 6) as roc_auc_lo, round(quantile_cont(auc, 0.975), 6) as roc_auc_hi,
       round(quantile_cont(ap, 0.025), 6) as average_precision_lo, round(quantile_cont(ap, 0.975), 6) as average_precision_hi from m"""
+PAIRED_SQL = _draws_sql(TWO_SQL) + """,
+    oh as (select name, score, cast(sum(y) as double) as n_pos, cast(sum(1 - y) as double) as n_neg from sc group by 1, 2),
+    ou as (select *, sum(n_pos) over x as cp, sum(n_neg) over x as cn from oh window x as (partition by name order by score desc)),
+    o as (select name, sum(n_pos * cp / (cp + cn)) / sum(n_pos) as ap from ou group by name),
+    seen as (select max(ap) filter (name = 'score_a') - max(ap) filter (name = 'score_b') as diff from o),
+    df as (select a.ap - b.ap as x, avg(a.ap - b.ap) over () as mean from m a join m b on b.b = a.b and b.name = 'score_b' where a.name = 'score_a')
+    select round(max(diff), 6) as diff, round(avg(cast(abs(x - mean) >= abs(diff) as int)), 6) as p_value, round(quantile_cont(x, 0.025), 6) as ci_lo,
+      round(quantile_cont(x, 0.975), 6) as ci_hi, count(*) as n_boot_used from df, seen"""
+SIGN_SQL = _draws_sql(TWO_SQL) + """,
+    df as (select a.auc - b.auc as x, avg(a.auc - b.auc) over () as mean from m a join m b on b.b = a.b and b.name = 'score_b' where a.name = 'score_a')
+    select round(quantile_cont(x, 0.025), 6) as diff_lo, round(quantile_cont(x, 0.975), 6) as diff_hi,
+      case when max(sign(mean)) = 0 then 1e0 else round(least(1e0, 2 * avg(cast(x * sign(mean) <= 0 as int))), 6) end as p_value, count(*) as n_valid from df"""
+THREE_SQL = _draws_sql(TWO_SQL) + """
+    select name, round(quantile_cont(auc, 0.025), 6) as lo, round(quantile_cont(auc, 0.975), 6) as hi, round(avg(auc), 6) as mean, count(*) as n_valid from m group by name"""
 
 
 def _two_scores(s, d):
@@ -325,16 +353,16 @@ def _two_scores(s, d):
 
 
 def _paired(s, d):
-    return rounded(rs.paired_bootstrap_test(_two_scores(s, d), "group_id", "score_a", "score_b", n_boot=200), "diff", "p_value", "ci_lo", "ci_hi")
+    return rounded(rs.paired_bootstrap_test(_two_scores(s, d), "group_id", "score_a", "score_b", n_boot=N_BOOT), "diff", "p_value", "ci_lo", "ci_hi")
 
 
 def _sign(s, d):
-    return rounded(rs.sign_bootstrap(_two_scores(s, d), "group_id", "score_b", "score_a", n_boot=200), "diff_lo", "diff_hi", "p_value")
+    return rounded(rs.sign_bootstrap(_two_scores(s, d), "group_id", "score_b", "score_a", n_boot=N_BOOT), "diff_lo", "diff_hi", "p_value")
 
 
 def _three(s, d):
     df = _two_scores(s, d).withColumn("score_c", (F.col("score_a") + F.col("score_b")) / 2)
-    return rounded(rs.three_way_bootstrap(df, "group_id", ["score_a", "score_b", "score_c"], n_boot=100), "lo", "hi", "mean")
+    return rounded(rs.three_way_bootstrap(df, "group_id", ["score_a", "score_b", "score_c"], n_boot=N_BOOT), "lo", "hi", "mean")
 
 
 def _seed_summary(s, d):
@@ -421,9 +449,9 @@ QUERIES = {
         select patient_id, trial_id, least(5, (select count(distinct trial_id) - 1 from criteria)) as n,
           least(5, (select count(distinct trial_id) - 1 from criteria)) as n_distinct, cast(0 as bigint) as n_own from labels_l where y = 1""")),
     "bootstrap_ci": Query(_bootstrap, _q(BOOT_SQL)),
-    "paired_bootstrap": Query(_paired, None),
-    "sign_bootstrap": Query(_sign, None),
-    "three_way_bootstrap": Query(_three, None),
+    "paired_bootstrap": Query(_paired, _q(PAIRED_SQL)),
+    "sign_bootstrap": Query(_sign, _q(SIGN_SQL)),
+    "three_way_bootstrap": Query(_three, _q(THREE_SQL)),
     "seed_summary": Query(_seed_summary, _q("""
         select regime, model, round(avg(pooled_roc_auc), 6) as pooled_roc_auc_mean, round(stddev_samp(pooled_roc_auc), 6) as pooled_roc_auc_std, count(pooled_roc_auc) as pooled_roc_auc_count,
           round(avg(pooled_pr_auc), 6) as pooled_pr_auc_mean, round(stddev_samp(pooled_pr_auc), 6) as pooled_pr_auc_std, count(pooled_pr_auc) as pooled_pr_auc_count

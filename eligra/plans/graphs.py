@@ -172,8 +172,7 @@ def _vocabulary(s, d):
 def _triples(s, d):
     i = Inputs(s, d)
     codes, criteria = i.codes(), i.criteria()
-    scores = la.PairScores(*(rounded(x, "m_inc", digits=9) for x in (lambda p: (p.pairs, p.defaults))(i.scores("A"))))
-    chosen = vi.training_trials(scores, i.patients(), 3, 0)
+    chosen = vi.training_trials(i.scores("A"), i.patients(), 3, 0)
     return vi.training_triples(chosen, criteria, codes, p_unknown=0.0)
 
 

@@ -9,7 +9,7 @@ from eligra.operators import labels as la
 from eligra.operators import match as mt
 from eligra.operators import quality as qu
 from eligra.operators import report as re_
-from eligra.operators.ranking import top_k
+from eligra.operators import topk as tk
 from eligra.operators.metrics import curve_metrics
 from eligra.plans.base import Inputs, Query, rounded, sql
 
@@ -86,28 +86,26 @@ def _q(body: str) -> str:
     return sql(body, EXTRA)
 
 
-def steady(scores: mt.PairScores, digits: int = 6) -> mt.PairScores:
-    return mt.PairScores(*(rounded(x, "m_inc", "m_exc", digits=digits) for x in (scores.pairs, scores.defaults)))
+def _shown(scores: mt.PairScores) -> mt.PairScores:
+    return mt.PairScores(*(rounded(x, "m_inc", "m_exc") for x in (scores.pairs, scores.defaults)))
 
 
 def _pairs(rule: str, hierarchy: bool = False):
     def run(s, d):
         i = Inputs(s, d)
         closure = hi.ancestor_closure(i.view("hierarchy_edges")) if hierarchy else None
-        scores = mt.score_pairs(i.criteria(), i.codes(), rule, closure)
-        # Sums in another order differ in the last digits: 12 are kept for the labels, 6 of those shown, so ties cannot tip.
-        return steady(la.label_pairs(steady(scores, 12))).pairs
+        return _shown(la.label_pairs(mt.score_pairs(i.criteria(), i.codes(), rule, closure))).pairs
     return run
 
 
 def _pairs_sql(dense: str) -> str:
-    return _q(f"""select patient_id, trial_id, round(round(m_inc, 12), 6) as m_inc, round(round(m_exc, 12), 6) as m_exc,
-        cast(round(m_inc, 12) >= 0.15e0 and round(m_exc, 12) < 0.8e0 as int) as y from {dense} where any_hit""")
+    return _q(f"""select patient_id, trial_id, round(m_inc, 6) as m_inc, round(m_exc, 6) as m_exc,
+        cast(m_inc >= 0.15e0 and m_exc < 0.8e0 as int) as y from {dense} where any_hit""")
 
 
 def _labels(s, d):
     i = Inputs(s, d)
-    return i, la.label_pairs(steady(i.scores("L"), 12))
+    return i, la.label_pairs(i.scores("L"))
 
 
 def _defaults(s, d):
@@ -197,15 +195,13 @@ def _weak(s, d):
 
 def _hard_negatives(s, d):
     i, labels = _labels(s, d)
-    pairs = la.complete_pairs(labels, i.patients())
-    best = top_k(pairs.where("y = 1"), ["patient_id"], [F.desc(F.round("m_inc", 9)), F.asc("trial_id")], 1)
-    return la.hard_negatives(pairs, best.select("patient_id", "trial_id"))
+    best = tk.best_pairs(labels, i.patients(), "patient_id", 1, condition="y = 1")
+    return la.hard_negatives(labels, best.select("patient_id", "trial_id"))
 
 
 def _top_patients(s, d):
-    i, labels = _labels(s, d)
-    best = top_k(rounded(la.complete_pairs(labels, i.patients()), "m_inc", digits=9), ["trial_id"], [F.desc("m_inc"), F.asc("patient_id")], 10)
-    return rounded(best.select("trial_id", "patient_id", "rank", "m_inc"), "m_inc")
+    i = Inputs(s, d)
+    return rounded(tk.best_patients(i.criteria(), i.codes(), i.patients(), 10), "m_inc")
 
 
 def _pair_sanity(s, d):

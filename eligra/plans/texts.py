@@ -190,12 +190,13 @@ def _negation(s, d):
                      F.when(at > 0, tx.is_negated_before(F.col("line"), at - 1)).alias("before"), tx.sounds_like_exclusion(F.col("line")).alias("cue"))
 
 
+# Plain letters stand in for accented ones, next to which DuckDB sees a word edge.
 NEGATION_SQL = r"""
     with t as (select *, strpos(lower(line), 'stroke') as p0 from lines_d),
     w as (select *, lower(substr(line, cast(greatest(p0 - 25, 1) as bigint), cast(p0 - 1 + 6 + 25 - greatest(p0 - 26, 0) as bigint))) as near_w,
       lower(regexp_extract(substr(line, cast(greatest(p0 - 40, 1) as bigint), cast(least(p0 - 1, 40) as bigint)), '([^.?!]*)$', 1)) as before_w from t)
-    select trial_id, pos, case when p0 = 0 then regexp_matches(lower(line), '\b(no|not|without|except|exception|excluding)\b') else regexp_matches(near_w, '\b(no|not|without|except|exception|excluding)\b') end as near,
-      case when p0 > 0 then regexp_matches(before_w, '\b(no|not|without|except|excluding|denies|never|none|absence|free of|lack of|without evidence of)\b') end as before,
+    select trial_id, pos, case when p0 = 0 then regexp_matches(regexp_replace(lower(line), '[À-ÖØ-öø-ɏͰ-ϿЀ-ӿ]', 'x', 'g'), '\b(no|not|without|except|exception|excluding)\b') else regexp_matches(regexp_replace(near_w, '[À-ÖØ-öø-ɏͰ-ϿЀ-ӿ]', 'x', 'g'), '\b(no|not|without|except|exception|excluding)\b') end as near,
+      case when p0 > 0 then regexp_matches(regexp_replace(before_w, '[À-ÖØ-öø-ɏͰ-ϿЀ-ӿ]', 'x', 'g'), '\b(no|not|without|except|excluding|denies|never|none|absence|free of|lack of|without evidence of)\b') end as before,
       """ + _or_contains("lower(line)", lex.EXCLUSION_CUES) + " as cue from w"
 
 

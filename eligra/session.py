@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +41,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Digits of an estimated size beyond which the estimate is of no use.
+ESTIMATE_DIGITS = 40
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the written copy."""
-    shared_folder(df.sparkSession)
+    """Write ``df`` to the shared folder and continue from the written copy.
+
+    A checkpoint inherits the planner's size estimate of its plan, and a join multiplies those of its sides: after some ten joins of checkpoints
+    they have thousands of digits and planning takes longer than the work. Such a plan is written as Parquet instead, whose size is known.
+    """
+    folder = shared_folder(df.sparkSession)
+    if len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > ESTIMATE_DIGITS:
+        path = f"{folder}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     return df.checkpoint(eager=True)
 
 

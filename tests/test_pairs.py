@@ -59,7 +59,7 @@ def test_weak_pairs_and_hard_negatives_include_pairs_without_a_hit(scores, patie
     weak = {(r.patient_id, r.trial_id) for r in la.weak_pairs(labels, patients, 0.3).collect()}
     assert weak == {k for k, (i, _) in full.items() if i >= 0.3}
     positives = patients.select("patient_id", F.lit("NCT00000000").alias("trial_id"))
-    hard = {(r.patient_id, r.negative_trial_id) for r in la.hard_negatives(la.complete_pairs(labels, patients), positives).collect()}
+    hard = {(r.patient_id, r.negative_trial_id) for r in la.hard_negatives(labels, positives).collect()}
     assert hard == {k for k, (i, e) in full.items() if i >= 0.15 and e >= 0.8 and k[1] != "NCT00000000"}
 
 
@@ -102,9 +102,12 @@ def test_training_trials_for_text_ids(scores, patients, n_trials):
         assert len({r.trial_id for r in mine}) == 6
 
 
-def test_comorbidity_counts_codes_of_any_size(spark):
+@pytest.mark.parametrize("members", [gr.LIST, 20])
+def test_comorbidity_counts_codes_of_any_size(spark, monkeypatch, members):
+    monkeypatch.setattr(gr, "LIST", members)
+    monkeypatch.setattr(gr, "BLOCK", 100)
     rng = random.Random(3)
-    rows = [(p, "common") for p in range(600)] + [(p, f"rare{rng.randrange(60)}") for p in range(600) for _ in range(3)]
+    rows = [(p, "common") for p in range(600)] + [(p, f"often{k}") for p in range(600) for k in range(70) if rng.random() < 0.15] + [(p, f"rare{rng.randrange(60)}") for p in range(600) for _ in range(3)]
     codes = {}
     for p, c in rows:
         codes.setdefault(p, set()).add(c)
