@@ -103,22 +103,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 HOT = 500
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, spread: list[str], how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, spread: list[str], how: str = "inner",
+             counts: DataFrame | None = None) -> DataFrame:
     """Join (inner or left) of ``rows`` with the one row that ``groups`` has of each key, hot keys dealt over several tasks.
 
-    ``groups`` (materialized) counts the rows of each key in ``n``. Keys of over a ``HOT``-th of all of them, ``HOT`` keys at most
-    and therefore broadcast, are cut into parts of that size by the hash of ``spread``; their row of ``groups`` goes to each part.
+    ``counts`` (materialized; ``groups`` itself if not given) has the number of rows of each key in ``n``. Keys of over a ``HOT``-th of all of
+    them, ``HOT`` keys at most and therefore broadcast, are cut into parts of that size by the hash of ``spread``; their row of ``groups``
+    goes to each part.
     """
-    total = groups.agg(F.sum(n)).first()[0] or 0
+    counts = groups if counts is None else counts
+    total = counts.agg(F.sum(n)).first()[0] or 0
     limit = max(64, total // HOT)
-    parts = F.ceil(F.col(n) / limit).cast("int")
-    hot = groups.where(F.col(n) > limit).select(*keys, parts.alias("_parts"))
-    marked = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0).cast("long")).cast("int")).drop("_parts")
-    spots = groups.withColumn("_part", F.explode(F.when(F.col(n) > limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
+    hot = F.broadcast(counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("_parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0).cast("long")).cast("int")
+    marked = rows.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
+    spots = groups.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return marked.join(spots, [*keys, "_part"], how).drop("_part")
 
 
+def attach(rows: DataFrame, key: str, table: DataFrame, spread: list[str]) -> DataFrame:
+    """Inner ``hot_join`` of ``rows`` with ``table``, which has one row a key and any number of columns; the rows of each key are counted first."""
+    counts = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")))
+    return hot_join(rows, table, [key], "_n", spread, counts=counts)
+
+
 #: Bitmaps have 2 ** MOST_BITS slots at most: 16 megabytes.
 MOST_BITS = 27
 
