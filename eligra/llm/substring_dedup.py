@@ -76,13 +76,11 @@ def _contexts(repeated):
                     continue
                 low, high = np.maximum(at - PERIOD + 1, 0), np.minimum(at + LENGTH, words.n)
                 reach = [digest(s, left) for s, left in zip(words.slices(low, high), (at - low).tolist())]
-                left = [digest(s) for s in words.slices(np.maximum(at - ARM, 0), at + CORE)]
-                right = [digest(s) for s in words.slices(at, np.minimum(at + CORE + ARM, words.n))]
+                arms = {"left": (np.maximum(at - ARM, 0), at + CORE, at < ARM), "right": (at, np.minimum(at + CORE + ARM, words.n), at + CORE + ARM > words.n)}
                 out.append(pd.DataFrame({
-                    "doc_id": doc_id, "k1": k1, "k2": k2, "at": at.astype(np.int32), "reach": reach,
-                    "low": low.astype(np.int32), "high": high.astype(np.int32),
-                    "left": [h if whole else None for h, whole in zip(left, (at >= ARM).tolist())],
-                    "right": [h if whole else None for h, whole in zip(right, (at + CORE + ARM <= words.n).tolist())]}))
+                    "doc_id": doc_id, "k1": k1, "k2": k2, "at": at.astype(np.int32), "reach": reach, "high": high.astype(np.int32),
+                    **{name: pd.arrays.IntegerArray(np.fromiter(map(core_of, words.slices(a, b)), np.uint64, len(at)).view(np.int64), cut)
+                       for name, (a, b, cut) in arms.items()}}))
             if out:
                 yield pd.concat(out)
 
@@ -169,12 +167,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")]
     cores = long.mapInPandas(_cores, f"core bigint, doc_id {id_type}").groupBy("core").agg(*span[:2]).where("least < most").select("core")
     found = materialize(long.mapInPandas(_contexts(bitmap(materialize(cores), "core")),
-                                         f"doc_id {id_type}, k1 bigint, k2 bigint, at int, low int, high int, reach binary, left binary, right binary"))
+                                         f"doc_id {id_type}, k1 bigint, k2 bigint, at int, high int, reach binary, left bigint, right bigint"))
 
     reaches = materialize(found.groupBy("reach").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    judged = materialize(hot_join(found, reaches, ["reach"], "n", ["k1", "at"]))
-    covered = judged.where("doc_id > least").select("k1", "k2", "low", "high")
-    open_ends = judged.where("doc_id = least")
+    judged = hot_join(found, reaches, ["reach"], "n", ["k1", "at"])
+    # A covered anchor needs its arms no more.
+    is_open = F.col("doc_id") == F.col("least")
+    judged = materialize(judged.select("doc_id", "k1", "k2", "at", F.when(~is_open, F.col("high")).alias("high"),
+                                       F.when(is_open, F.col("left")).alias("left"), F.when(is_open, F.col("right")).alias("right")))
+    covered = judged.where("high is not null").select("k1", "k2", F.greatest(F.col("at") - PERIOD + 1, F.lit(0)).alias("low"), "high")
+    open_ends = judged.where("high is null")
     arms = materialize(open_ends.select("doc_id", "k1", "k2", "at", F.explode(F.filter(F.array(
         F.struct(F.lit(True).alias("is_left"), F.col("left").alias("arm")),
         F.struct(F.lit(False).alias("is_left"), F.col("right").alias("arm"))), lambda x: x["arm"].isNotNull())).alias("x"))
