@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligra.operators.match import TAU_EXC, TAU_INC, PairScores
-from eligra.operators.ranking import position, range_bin
+from eligra.operators.ranking import exact_quantiles, position, range_bin
+from eligra.session import materialize
 
 #: Trials whose scores travel together where pairs are spelled out.
 TRIAL_BLOCK = 64
@@ -58,16 +59,16 @@ def patient_positives(labels: PairScores, patients: DataFrame) -> DataFrame:
 
 def label_stats(labels: PairScores, patients: DataFrame) -> DataFrame:
     """Prevalence and how positives spread over trials and patients."""
-    by_trial = trial_positives(labels, patients)
+    by_trial = materialize(trial_positives(labels, patients))
+    median = exact_quantiles(by_trial, "n_pos", [0.5]).select("quantile").scalar()
     n_patients_any = patient_positives(labels, patients).agg(F.count_if(F.col("n_pos") > 0)).scalar()
     return by_trial.agg(
         F.count("*").alias("n_trials"), F.max("n_patients").alias("n_patients"), F.sum("n_pos").alias("n_pos"),
         (F.sum("n_pos") / F.sum("n_patients")).alias("prevalence"),
         F.count_if(F.col("n_pos") > 0).alias("trials_with_any"),
         F.count_if(F.col("n_pos") == F.col("n_patients")).alias("trials_with_all"),
-        F.percentile("n_pos", F.lit(0.5)).alias("median_pos_per_trial"),
         F.max("n_pos").alias("max_pos_per_trial"),
-    ).withColumn("patients_with_any", n_patients_any)
+    ).withColumn("median_pos_per_trial", median).withColumn("patients_with_any", n_patients_any)
 
 
 def score_histogram(labels: PairScores, patients: DataFrame, score: Column) -> DataFrame:

@@ -21,12 +21,12 @@ def histogram(rows: DataFrame, groups: Sequence[str] = (), y: str = "y", score:
         F.sum(F.col(y).cast("bigint")).alias("n_pos"), F.sum(1 - F.col(y).cast("bigint")).alias("n_neg"))
 
 
-def curve_metrics(hist: DataFrame, groups: Sequence[str] = (), resolution: int = 256) -> DataFrame:
+def curve_metrics(hist: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC (ties count half), step-wise average precision, prevalence and lift per group.
 
     AUC is null with a single class, AP without a positive.
     """
-    cum = running_totals(hist, ["n_pos", "n_neg"], groups=groups, resolution=resolution)
+    cum = running_totals(hist, ["n_pos", "n_neg"], groups=groups)
     # Positives ranked above each negative, ties half: the Mann-Whitney count.
     wins = F.col("n_neg") * (F.col("cum_n_pos") - F.col("n_pos") / 2)
     precision = F.col("cum_n_pos") / (F.col("cum_n_pos") + F.col("cum_n_neg"))
@@ -141,13 +141,13 @@ def strict_accuracy(rows: DataFrame, threshold: float = 0.0) -> DataFrame:
                      F.count("*").alias("n_assessable"))
 
 
-def strict_sweep(rows: DataFrame, resolution: int = 256) -> DataFrame:
+def strict_sweep(rows: DataFrame) -> DataFrame:
     """Accuracy at each whole percentile of the scores (a hindsight diagnostic).
 
     Rows are first counted by how many thresholds they reach, 100 classes in all.
     """
     known = rows.where(F.col("y").isNotNull())
-    cuts = exact_quantiles(known, "score", [i / 100 for i in range(1, 100)], resolution)
+    cuts = exact_quantiles(known, "score", [i / 100 for i in range(1, 100)])
     edges = cuts.agg(F.array_sort(F.collect_list("quantile"))).scalar()
     reached = (
         known.withColumn("_edges", edges)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from eligra.functions.hashing import draw_key
+from eligra.session import materialize
 
 
 def position(df: DataFrame, order_by: Sequence[str], bins: Column, groups: Sequence[str] = ()) -> DataFrame:
@@ -54,15 +55,17 @@ def shuffled_position(df: DataFrame, ids: Sequence[str], seed: int, groups: Sequ
 
 
 def running_totals(df: DataFrame, values: Sequence[str], order: str = "score", groups: Sequence[str] = (),
-                   descending: bool = True, resolution: int = 256) -> DataFrame:
+                   descending: bool = True, bins: int = 256) -> DataFrame:
     """Add ``cum_<v>``: inclusive running sum of each value along ``order`` within ``groups``.
 
-    ``order`` is numeric and unique within a group (pre-aggregate ties first). ``resolution`` is
-    the number of bins per unit of it.
+    ``order`` is numeric and unique within a group (pre-aggregate ties first). The rows are written once and cut at ``bins`` - 1 splitters
+    taken from their own values, so a bin holds about as many rows as any other however close the values lie; the totals
+    of the bins before are added to prefix sums within each.
     """
     groups = list(groups)
     direction = F.desc if descending else F.asc
-    df = df.withColumn("_bin", F.floor(F.col(order) * resolution))
+    df = materialize(df)
+    df = df.withColumn("_bin", range_bin(df, order, bins))
     totals = df.groupBy(*groups, "_bin").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     before = Window.partitionBy(*groups).orderBy(direction("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*groups, "_bin", *[
@@ -75,15 +78,16 @@ def running_totals(df: DataFrame, values: Sequence[str], order: str = "score", g
     return df.drop("_bin", *[f"_o_{v}" for v in values])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], resolution: int = 256) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
     """(prob, quantile) with linear interpolation, from a histogram of distinct values.
 
     The built-in ``percentile`` keeps every distinct value in one buffer; here the two order
     statistics of each probability are picked out of a binned running count.
     """
     hist = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("score")).agg(F.count("*").alias("n"))
+    hist = materialize(hist)
     total = hist.agg(F.sum("n")).scalar()
-    cum = running_totals(hist, ["n"], descending=False, resolution=resolution).withColumn("_total", total)
+    cum = running_totals(hist, ["n"], descending=False).withColumn("_total", total)
     low, high = F.col("cum_n") - F.col("n"), F.col("cum_n")
     wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob")) for p in probs])
     ranks = F.transform(wanted, lambda w: F.struct(

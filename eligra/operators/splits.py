@@ -14,7 +14,7 @@ from eligra.functions.hashing import draw_key, uniform
 from eligra.functions.permutation import permuted
 from eligra.operators.labels import complete_pairs
 from eligra.operators.match import PairScores
-from eligra.operators.ranking import position, range_bin, shuffled_position, top_k
+from eligra.operators.ranking import exact_quantiles, position, range_bin, shuffled_position, top_k
 from eligra.session import materialize
 
 FRACTIONS = (0.70, 0.15, 0.15)
@@ -54,7 +54,8 @@ def prevalence_bins(prevalence: DataFrame, n_bins: int = PREVALENCE_BINS, min_pe
 
     With ``min_per_bin``, one bin when there are fewer trials per bin than that (0: never).
     """
-    edges = prevalence.agg(F.percentile("prevalence", F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)]))).scalar()
+    prevalence = materialize(prevalence)
+    edges = exact_quantiles(prevalence, "prevalence", [i / n_bins for i in range(1, n_bins)]).agg(F.collect_list("quantile")).scalar()
     n = prevalence.agg(F.count("*")).scalar()
     return prevalence.withColumn("_edges", edges).withColumn("_n", n).select(
         "trial_id", F.when(F.col("_n") < min_per_bin * n_bins, 0).otherwise(

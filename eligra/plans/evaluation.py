@@ -175,7 +175,7 @@ SWEEP_SQL = f"""
 
 def _quantiles(s, d):
     df = Inputs(s, d).table("lineitem")
-    return rounded(ra.exact_quantiles(df, "l_extendedprice", [0.01, 0.25, 0.5, 0.75, 0.99], resolution=1), "quantile", digits=4)
+    return rounded(ra.exact_quantiles(df, "l_extendedprice", [0.01, 0.25, 0.5, 0.75, 0.99]), "quantile", digits=4)
 
 
 def _priors(s, d):

@@ -90,15 +90,17 @@ def _neighbors(mode: str):
         n = v.agg(F.count("*")).scalar()
         edges = i.table("lineitem").select((F.col("l_partkey") % n).alias("src"), (F.col("l_suppkey") % n).alias("dst"))
         out = gr.neighbor_mean(edges, v.select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("vec")), mode)
-        return out.select("node", F.round(out.vec[0], 6).alias("v0"), F.round(F.element_at("vec", -1), 6).alias("v_last"), F.size("vec").alias("width"))
+        return out.select("node", F.posexplode("vec").alias("i", "x")).select("node", "i", F.round("x", 6).alias("v"))
     return run
 
 
 NEIGHBOR_SQL = """
     with n as (select count(*) as n from embeddings), e as (select l_partkey % n as src, l_suppkey % n as dst from lineitem, n),
-    o as (select src, count(*) as d_out from e group by 1), i as (select dst, count(*) as d_in from e where src in (select vec_id from embeddings) group by 1)
-    select e.dst as node, round(sum(v.embedding[1] * {w}) / {q}, 6) as v0, round(sum(v.embedding[64] * {w}) / {q}, 6) as v_last, 64 as width
-    from e join embeddings v on v.vec_id = e.src join o on o.src = e.src join i on i.dst = e.dst group by e.dst"""
+    o as (select src, count(*) as d_out from e group by 1), i as (select dst, count(*) as d_in from e where src in (select vec_id from embeddings) group by 1),
+    x as (select vec_id, unnest(embedding) as x, unnest(range(0, len(embedding))) as i from embeddings),
+    p as (select src, dst, count(*) as times from e group by 1, 2)
+    select p.dst as node, cast(x.i as int) as i, round(sum(times * x.x * {w}) / {q}, 6) as v
+    from p join x on x.vec_id = p.src join o on o.src = p.src join i on i.dst = p.dst group by p.dst, x.i"""
 
 
 def _cosines(s, d):

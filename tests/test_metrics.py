@@ -17,7 +17,7 @@ def test_auc_with_ties_and_one_class(spark):
     rng = random.Random(1)
     rows = [(g, int(rng.random() < 0.3), rng.randint(-9, 9) / 4) for g in range(3) for _ in range(60)] + [(9, 1, 0.5), (9, 1, 0.1)]
     df = spark.createDataFrame(rows, "g int, y int, score double")
-    got = {r.g: r for r in metrics.curve_metrics(metrics.histogram(df, ["g"]), ["g"], resolution=2).collect()}
+    got = {r.g: r for r in metrics.curve_metrics(metrics.histogram(df, ["g"]), ["g"]).collect()}
     for g in range(3):
         assert got[g].roc_auc == pytest.approx(auc([(y, s) for k, y, s in rows if k == g]))
     assert got[9].roc_auc is None and got[9].average_precision == 1.0
@@ -66,7 +66,7 @@ def test_positions_and_quantiles(spark):
     rng = random.Random(3)
     xs = [rng.gauss(0, 5) for _ in range(500)]
     df = spark.createDataFrame([(x,) for x in xs], "v double")
-    got = {r.prob: r.quantile for r in ranking.exact_quantiles(df, "v", [0.0, 0.25, 0.5, 1.0], resolution=1).collect()}
+    got = {r.prob: r.quantile for r in ranking.exact_quantiles(df, "v", [0.0, 0.25, 0.5, 1.0]).collect()}
     s = sorted(xs)
     at = lambda q: s[int(q * 499)] + (s[min(int(q * 499) + 1, 499)] - s[int(q * 499)]) * (q * 499 - int(q * 499))
     assert all(got[q] == pytest.approx(at(q)) for q in got) and len(got) == 4
@@ -149,3 +149,15 @@ def test_salted_join_equals_plain(spark):
     small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k int, v string")
     for how in ("inner", "left"):
         assert salted_join(big, small, ["k"], 5, ["id"], how).exceptAll(big.join(small, ["k"], how)).count() == 0
+
+
+def test_scores_that_lie_very_close(spark):
+    """A million scores within 1e-9: bins stay even, and order statistics and prefix sums exact."""
+    step = 2.0 ** -50
+    df = spark.range(1_000_000, numPartitions=8).select((F.lit(0.5) + F.pmod(F.col("id") * 7919, F.lit(1_000_000)) * step).alias("score"), F.lit(1).alias("n"))
+    sizes = [r["count"] for r in df.groupBy(ranking.range_bin(df, "score").alias("bin")).count().collect()]
+    assert max(sizes) < 0.02 * 1_000_000 and sum(sizes) == 1_000_000
+    got = {r.prob: r.quantile for r in ranking.exact_quantiles(df, "score", [0.0, 0.5, 1.0]).collect()}
+    assert got == {0.0: 0.5, 0.5: 0.5 + 499_999.5 * step, 1.0: 0.5 + 999_999 * step}
+    cum = ranking.running_totals(df, ["n"])
+    assert cum.where(F.col("cum_n") != 1_000_000 - (F.col("score") - 0.5) / step).isEmpty()

@@ -149,3 +149,20 @@ def test_forced_salt_changes_nothing(spark):
         assert rows() == plain
     finally:
         spark.conf.unset("eligra.salt")
+
+
+@pytest.mark.parametrize("mode", ["mean", "sym"])
+def test_neighbour_vectors_with_hubs(spark, monkeypatch, mode):
+    monkeypatch.setattr(gr, "EDGES_AT_ONCE", 64)
+    rng = random.Random(9)
+    vectors = {f"n{i}": [rng.random() for _ in range(5)] for i in range(40)}
+    edges = [("n0", f"n{rng.randrange(40)}") for _ in range(300)] + [(f"n{rng.randrange(45)}", "n1") for _ in range(300)]
+    edges += [(f"n{rng.randrange(45)}", f"n{rng.randrange(50)}") for _ in range(200)]  # some ends have no vector
+    out = {s: sum(e[0] == s for e in edges) for s, _ in edges}
+    want = {}
+    for d in {d for s, d in edges if s in vectors}:
+        mine = [s for s, t in edges if t == d and s in vectors]
+        scale = [1.0 if mode == "mean" else out[s] ** -0.5 for s in mine]
+        want[d] = [sum(vectors[s][i] * w for s, w in zip(mine, scale)) / (len(mine) if mode == "mean" else len(mine) ** 0.5) for i in range(5)]
+    got = gr.neighbor_mean(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(list(vectors.items()), "node string, vec array<double>"), mode, grid=3)
+    assert {r.node: r.vec for r in got.collect()} == {d: pytest.approx(v) for d, v in want.items()}
