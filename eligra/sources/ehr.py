@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eligra import schemas
@@ -34,8 +34,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_row_order(df: DataFrame, column: str = "seq") -> DataFrame:
-    """File order of a small lookup file as a column: input file, then position within the scan."""
-    return df.withColumn(column, F.monotonically_increasing_id())
+    """Rows of a file scan with a number that follows file path and place in the file, from 0, however the files are cut and dealt.
+
+    ``df`` is a scan with nothing but projections on it. Rows of each split are counted once; the splits before give its first number.
+    """
+    spot = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+    marked = df.select("*", *spot).withColumn("_id", F.monotonically_increasing_id())
+    splits = marked.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_path", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return marked.join(offsets, ["_path", "_start"]).select(*[marked[c] for c in df.columns], (F.col("_id") + F.col("_shift")).alias(column))
 
 
 def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eligra import schemas
 from eligra.functions.codes import ENTITY_TYPES, finite_double, normalize_code, operator_name
 from eligra.operators.splits import prefix_split
+from eligra.sources.ehr import with_row_order
 
 
 def read_studies(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -17,9 +18,18 @@ def read_studies(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     (``multi_line=False``) or as many files.
     """
     df = spark.read.schema(schemas.schema(schemas.STUDIES)).option("multiLine", multi_line).json(path)
-    df = df.withColumn("_row", F.monotonically_increasing_id())
+    return _studies_of(with_row_order(df, "_row"))
+
+
+def parse_studies(rows: DataFrame, text: str, row: str) -> DataFrame:
+    """``read_studies`` of JSON texts in a column, one document a row, in the order of ``row``. A text that is no JSON gives no study."""
+    parsed = F.from_json(text, schemas.schema(schemas.STUDIES))
+    return _studies_of(rows.select(F.col(row).alias("_row"), parsed.alias("_doc")).select("_row", "_doc.*"))
+
+
+def _studies_of(documents: DataFrame) -> DataFrame:
     one = F.array(F.struct(F.col("protocolSection").alias("protocolSection")))
-    return df.select("_row", F.posexplode(F.coalesce("studies", one)).alias("_i", "study")).select(
+    return documents.select("_row", F.posexplode(F.coalesce("studies", one)).alias("_i", "study")).select(
         F.struct("_row", "_i").alias("seq"), F.col("study.protocolSection").alias("p")).where(F.col("p").isNotNull())
 
 
@@ -110,7 +120,7 @@ def read_structured(spark: SparkSession, paths: list[str] | str, keep: str = "fi
     union: DataFrame | None = None
     for i, path in enumerate([paths] if isinstance(paths, str) else paths):
         df = spark.read.schema(schemas.schema(schemas.TRIAL_RECORD)).option("multiLine", multi_line).json(path)
-        df = df.withColumn("seq", F.struct(F.lit(i).alias("_file"), F.monotonically_increasing_id().alias("_row")))
+        df = with_row_order(df, "_row").withColumn("seq", F.struct(F.lit(i).alias("_file"), "_row")).drop("_row")
         union = df if union is None else union.unionByName(df)
     return structured_trials(union, keep, coerce_types)
 

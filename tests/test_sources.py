@@ -70,3 +70,21 @@ def test_auto_picks_what_exists(spark):
         raise FileNotFoundError
 
     assert trials.load_dataset("auto", {"real": missing, "real_ctg": lambda: {"x": 1}}) == {"x": 1}
+
+
+def test_row_numbers_follow_the_files_however_they_are_cut(spark, tmp_path):
+    """Files of unlike size, cut into many splits that are dealt by size: numbers go by path and place, so the first row of a code wins."""
+    rows, folder = [], tmp_path / "edges"
+    folder.mkdir()
+    for name, n in (("a.csv", 40), ("b.csv", 3_000), ("c.csv", 500)):
+        mine = [(f"{name}-{i}", f"child{i % 700}") for i in range(n)]
+        write(folder / name, "\n".join(",".join(r) for r in mine) + "\n")
+        rows += mine
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        edges = ehr.read_hierarchy(spark, str(folder))
+        assert [(r.seq, r.parent, r.child) for r in edges.orderBy("seq").collect()] == [(i, *r) for i, r in enumerate(rows)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.seq for r in ehr.read_hierarchy(spark, str(folder)).where("child = 'child20'").orderBy("seq").limit(1).collect()] == [20]
