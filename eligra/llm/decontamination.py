@@ -236,7 +236,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that overlap a benchmark item, all columns kept."""
+    """``docs`` without the rows that overlap a benchmark item, all columns kept.
+
+    Null and empty texts stay, texts of any length are searched whole, rows without an id go or stay like others, repeated rows share
+    their fate, and rows of one id are told apart by their text. Names of other columns may be any. An empty table gives no rows.
+    """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     d, r, rid = fresh(docs, "d_", "r_", "rid_")
     bad = materialize(leaks(docs, benchmark, **options).select(F.col("doc_id").alias(d), F.col("rid").alias(r)).distinct())

@@ -187,6 +187,10 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int =
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, all columns kept. Nothing is shuffled."""
+    """The rows of ``docs`` that score ``threshold`` or more, all columns kept. Nothing is shuffled.
+
+    A null text is scored as an empty one, whole texts are scored however long they are, repeated rows share their fate, and ids and other
+    columns, whatever their names and nulls, play no part. An empty table gives no rows.
+    """
     run = _scored(fit(docs, labels, **options))
     return docs.where(run(F.coalesce(docs["text"].cast("string"), F.lit(""))) >= threshold)

@@ -36,3 +36,25 @@ def test_empty_table(spark):
     for _, f in cp.STAGES:
         none = f(spark, none, SF)
         assert none.count() == 0
+
+
+def test_odd_rows_pass_all_stages(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, rows of one id, other columns with names that operators use themselves."""
+    some = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").collect()
+    rows = [(*r, "x", 1) for r in some]
+    long = " ".join(r.text or "" for r in some) * 8
+    rows += [(None, None, None, None, None, None, None), (None, rows[3][1], None, None, None, "y", 2), (1000, "", "en", None, 0, None, None), (1001, None, None, "web", 0, "z", 3),
+             rows[5], rows[5], (1002, long, "en", "web", len(long), "x", 1), (7, "another text under a known id " * 9, "en", "web", 1, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, text_hash string, rid int").repartition(3)
+    kept = {(r.doc_id, r.text) for r in docs.collect()}
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, SF)
+        now = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.columns[:7] == ["doc_id", "text", "lang", "source", "n_chars", "text_hash", "rid"]
+        if name in ("quality_filter", "near_dedup", "decontaminate"):
+            assert set(now) <= kept
+        if name == "near_dedup":
+            assert len(now) == len(set(now))
+        kept = set(now)
+    assert {"copies", "target"} <= set(docs.columns)
