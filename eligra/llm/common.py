@@ -108,17 +108,18 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, spread
     """Join (inner or left) of ``rows`` with the one row that ``groups`` has of each key, hot keys dealt over several tasks.
 
     ``counts`` (materialized; ``groups`` itself if not given) has the number of rows of each key in ``n``. Keys of over a ``HOT``-th of all of
-    them, ``HOT`` keys at most and therefore broadcast, are cut into parts of that size by the hash of ``spread``; their row of ``groups``
-    goes to each part.
+    them, ``HOT`` keys at most, are cut into parts by the hash of ``spread``, the largest into parts of that size; their row of ``groups`` goes to
+    each part. Only these keys' hashes come to the driver.
     """
     counts = groups if counts is None else counts
     total = counts.agg(F.sum(n)).first()[0] or 0
     limit = max(64, total // HOT)
-    hot = F.broadcast(counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("_parts")))
-    part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0).cast("long")).cast("int")
-    marked = rows.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
-    spots = groups.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return marked.join(spots, [*keys, "_part"], how).drop("_part")
+    hot = counts.where(F.col(n) > limit).select(F.xxhash64(*keys).alias("key"), F.ceil(F.col(n) / limit).cast("int").alias("parts")).collect()
+    # Known by their hash: another key of that hash is split as well, on both sides alike.
+    parts, is_hot = max([r["parts"] for r in hot], default=1), F.xxhash64(*keys).isin([r["key"] for r in hot])
+    part = F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(parts))).otherwise(0).cast("int")
+    spots = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("_part", part).join(groups.withColumn("_part", F.explode(spots)), [*keys, "_part"], how).drop("_part")
 
 
 def attach(rows: DataFrame, key: str, table: DataFrame, spread: list[str]) -> DataFrame:
