@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ class Pair:
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B of each text; none where their bytes are not a space and the text."""
-        left = [e.ids for e in self.level.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        left = [e.ids for e in self.level.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]  # ids without offsets
         right = self.piece.encode(texts, num_threads=1)
         for k, t in enumerate(texts):
             whole = b" " + t.encode()
@@ -82,11 +83,15 @@ class Links:
     def __init__(self, pair: Pair, texts: list[str]):
         left, right = pair.encode(texts)
         self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right))
-        self.a, self.b = (np.fromiter((i for ids in x for i in ids), np.int64, int(n.sum())) for x, n in ((left, self.n_a), (right, self.n_b)))
-        end_a, end_b = np.cumsum(pair.a_size[self.a]), np.cumsum(pair.b_size[self.b])
-        cuts = np.union1d(end_a, end_b)  # a link is the stretch up to each end of either side
-        self.of_a, self.of_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
-        shared = (end_a[self.of_a] == cuts) & (end_b[self.of_b] == cuts) if len(cuts) else np.zeros(0, bool)
+        self.a, self.b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((left, self.n_a), (right, self.n_b)))
+        # Marks at the bytes where a token of either side ends; a link is the stretch up to each of them.
+        ends = np.zeros((2, int(pair.a_size[self.a].sum()) + 1), bool)
+        ends[0][np.cumsum(pair.a_size[self.a])] = True
+        ends[1][np.cumsum(pair.b_size[self.b])] = True
+        cuts = np.flatnonzero(ends[0] | ends[1])
+        in_a, in_b = ends[0][cuts], ends[1][cuts]
+        self.of_a, self.of_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        shared = in_a & in_b
         before = np.concatenate([[True], shared[:-1]])[:len(cuts)]
         self.doc = np.repeat(np.arange(len(texts)), self.n_a)[self.of_a] if len(cuts) else np.zeros(0, np.int64)
         count = len(texts)
@@ -121,14 +126,11 @@ class Links:
         return out
 
 
-def _counted(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct rows of the columns, sorted, and how often each occurs."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    if not len(order):
-        return (*columns, order)
-    first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
-    return (*[c[first] for c in columns], np.diff(np.append(first, len(order))))
+def _counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (doc, key), in order, and how often each occurs."""
+    keys, at = np.unique(key, return_inverse=True)
+    both, n = np.unique(doc * max(1, len(keys)) + at, return_counts=True)
+    return both // max(1, len(keys)), keys[both % max(1, len(keys))], n
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
