@@ -197,14 +197,14 @@ def trial_defaults(usable: DataFrame, trials: DataFrame, rule: Rule) -> DataFram
     exact = w.cast(EXACT)
     per_trial = usable.groupBy("trial_id").agg(
         F.count_if(inc).alias("n_inc"), F.count_if(~inc).alias("n_exc"),
-        F.coalesce(F.sum(F.when(inc, w)), F.lit(0.0)).alias("w_inc"),
+        F.coalesce(F.sum(F.when(inc, exact)), F.lit(0)).alias("w_inc"),
         F.coalesce(F.sum(F.when(inc & absent, exact)), F.lit(0)).alias("w_inc_absent"),
         F.count_if(inc & absent).alias("n_inc_absent"),
         F.coalesce(F.sum(F.when(~inc & absent, exact)), F.lit(0)).alias("w_exc_absent"),
         F.count_if(~inc & absent).alias("n_exc_absent"),
         F.array_sort(F.collect_list(F.when(~inc & absent, F.struct(F.col("absent_rank").alias("rank"), w.alias("w"))))).alias("absent_exc"),
     )
-    zero = {"n_inc": 0, "n_exc": 0, "w_inc": 0.0, "w_inc_absent": 0, "w_exc_absent": 0, "n_inc_absent": 0, "n_exc_absent": 0}
+    zero = {"n_inc": 0, "n_exc": 0, "w_inc": 0, "w_inc_absent": 0, "w_exc_absent": 0, "n_inc_absent": 0, "n_exc_absent": 0}
     df = trials.select("trial_id").join(per_trial, "trial_id", "left").fillna(zero)
     none = F.lit(0.0)
     return df.select(
@@ -216,14 +216,14 @@ def trial_defaults(usable: DataFrame, trials: DataFrame, rule: Rule) -> DataFram
 
 def _still_absent(side: str) -> Column:
     """Weight of the absence criteria without a hit. Decimals, so that taking weights away leaves the sum of the others to the last bit."""
-    return (F.col(f"w_{side}_absent") - F.col(f"{side}_gone_w")).cast("double")
+    return F.col(f"w_{side}_absent") - F.col(f"{side}_gone_w")
 
 
 def _inclusion(rule: Rule, total: Column) -> Column:
     """M_inc from the summed weighted scores; vacuous trials accept everybody."""
     if rule.inclusion == "mean":
         return F.when(F.col("n_inc") == 0, 1.0).otherwise(F.try_divide(total, F.col("n_inc")))
-    return F.when(F.col("w_inc") <= 0, 1.0).otherwise(F.try_divide(total, F.col("w_inc")))
+    return F.when(F.col("w_inc") <= 0, 1.0).otherwise(F.try_divide(total, F.col("w_inc").cast("double")))
 
 
 def _exclusion(rule: Rule, best: Column, total: Column, exp_sum: Column, n_hits: Column, absent_best: Column,
@@ -261,7 +261,9 @@ def aggregate_pairs(hits: DataFrame, defaults: DataFrame, rule: Rule,
 
     # A hit on an absence criterion scores 0 and takes its weight out of the baseline.
     agg = hits.groupBy("patient_id", "trial_id").agg(
-        total(inc, w * s).alias("inc_sum"), total(~inc, w * s).alias("exc_sum"),
+        # Full scores add weights without rounding, so a sum that meets a threshold meets it in any order.
+        F.coalesce(F.sum(F.when(inc & (s == 1), w.cast(EXACT))), F.lit(0)).alias("inc_full"), total(inc & (s != 1), w * s).alias("inc_part"),
+        total(~inc, w * s).alias("exc_sum"),
         F.coalesce(F.sum(F.when(inc & absent, w.cast(EXACT))), F.lit(0)).alias("inc_gone_w"),
         F.coalesce(F.sum(F.when(~inc & absent, w.cast(EXACT))), F.lit(0)).alias("exc_gone_w"),
         F.coalesce(F.max(F.when(~inc, w * s)), zero).alias("exc_best"),
@@ -282,8 +284,8 @@ def aggregate_pairs(hits: DataFrame, defaults: DataFrame, rule: Rule,
     salt = default_salt(hits.sparkSession) if salt is None else salt
     return salted_join(agg, base, ["trial_id"], salt, ["patient_id"]).select(
         "patient_id", "trial_id",
-        _inclusion(rule, _still_absent("inc") + F.col("inc_sum")).alias("m_inc"),
-        _exclusion(rule, F.col("exc_best"), _still_absent("exc") + F.col("exc_sum"), F.col("exc_exp"), F.col("exc_hits"), absent_best,
+        _inclusion(rule, (_still_absent("inc") + F.col("inc_full")).cast("double") + F.col("inc_part")).alias("m_inc"),
+        _exclusion(rule, F.col("exc_best"), _still_absent("exc").cast("double") + F.col("exc_sum"), F.col("exc_exp"), F.col("exc_hits"), absent_best,
                    F.col("exc_wexp")).alias("m_exc"),
     )
 

@@ -146,7 +146,7 @@ CTES = {
         left join pcodes h on h.patient_id = p.patient_id and h.entity_type = c.lookup_type and h.code = c.entity_code""",
     "dense_l": """
         select patient_id, trial_id, bool_or(present) as any_hit,
-          coalesce(sum(w * s) filter (where is_inclusion) / count(*) filter (where is_inclusion), 1e0) as m_inc,
+          coalesce((coalesce(cast(sum(cast(w as decimal(18,6))) filter (where is_inclusion and s = 1) as double), 0e0) + coalesce(sum(w * s) filter (where is_inclusion and s <> 1), 0e0)) / nullif(count(*) filter (where is_inclusion), 0), 1e0) as m_inc,
           coalesce(max(w * s) filter (where not is_inclusion), 0e0) as m_exc,
           count(*) filter (where is_inclusion) as n_inc, count(*) filter (where not is_inclusion) as n_exc
         from grid_l group by patient_id, trial_id""",

@@ -29,7 +29,7 @@ GRID_B = """
     left join pcodes h on h.patient_id = p.patient_id and h.entity_type = c.entity_type and h.code = c.entity_code"""
 DENSE_B = """
     select patient_id, trial_id, bool_or(present and scorable) as any_hit,
-      coalesce(sum(w * s) filter (where is_inclusion) / sum(w) filter (where is_inclusion), 1e0) as m_inc,
+      coalesce((coalesce(cast(sum(cast(w as decimal(18,6))) filter (where is_inclusion and s = 1) as double), 0e0) + coalesce(sum(w * s) filter (where is_inclusion and s <> 1), 0e0)) / nullif(cast(sum(cast(w as decimal(18,6))) filter (where is_inclusion) as double), 0), 1e0) as m_inc,
       coalesce(case when max(s) filter (where not is_inclusion) > 0 then
         sum(s * exp(s / 0.5e0)) filter (where not is_inclusion) / sum(exp(s / 0.5e0)) filter (where not is_inclusion) end, 0e0) as m_exc,
       count(*) filter (where is_inclusion) as n_inc, count(*) filter (where not is_inclusion) as n_exc
@@ -62,7 +62,7 @@ EXTRA = {
     "dense_bh": DENSE_B.format(grid="grid_bh"), "grid_a": GRID_A,
     "dense_a": """
     select patient_id, trial_id, bool_or(present) as any_hit,
-      coalesce(sum(w * s) filter (where is_inclusion) / count(*) filter (where is_inclusion), 1e0) as m_inc,
+      coalesce((coalesce(cast(sum(cast(w as decimal(18,6))) filter (where is_inclusion and s = 1) as double), 0e0) + coalesce(sum(w * s) filter (where is_inclusion and s <> 1), 0e0)) / nullif(count(*) filter (where is_inclusion), 0), 1e0) as m_inc,
       coalesce(max(w * s) filter (where not is_inclusion), 0e0) as m_exc
     from grid_a group by patient_id, trial_id""",
     "strict_b": """
