@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eligra.session import materialize
+from eligra.session import materialize, shared_folder
 
 #: A word is a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,6 +100,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``materialize`` as Parquet in the shared folder: rows of one text repeat its keys, which a checkpoint would spell out each time."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: A key with more than one in so many of all rows is split by ``hot_join``; so at most that many keys are.
 HOT = 500
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eligra.llm.common import bitmap, bound_batches, hot_join, in_bitmap
+from eligra.llm.common import bitmap, bound_batches, hot_join, in_bitmap, written
 from eligra.session import materialize
 
 LENGTH = 50
@@ -166,18 +166,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     span = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")]
     cores = long.mapInPandas(_cores, f"core bigint, doc_id {id_type}").groupBy("core").agg(*span[:2]).where("least < most").select("core")
-    found = materialize(long.mapInPandas(_contexts(bitmap(materialize(cores), "core")),
+    found = written(long.mapInPandas(_contexts(bitmap(materialize(cores), "core")),
                                          f"doc_id {id_type}, k1 bigint, k2 bigint, at int, high int, reach binary, left bigint, right bigint"))
 
     reaches = materialize(found.groupBy("reach").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     judged = hot_join(found, reaches, ["reach"], "n", ["k1", "at"])
     # A covered anchor needs its arms no more.
     is_open = F.col("doc_id") == F.col("least")
-    judged = materialize(judged.select("doc_id", "k1", "k2", "at", F.when(~is_open, F.col("high")).alias("high"),
+    judged = written(judged.select("doc_id", "k1", "k2", "at", F.when(~is_open, F.col("high")).alias("high"),
                                        F.when(is_open, F.col("left")).alias("left"), F.when(is_open, F.col("right")).alias("right")))
     covered = judged.where("high is not null").select("k1", "k2", F.greatest(F.col("at") - PERIOD + 1, F.lit(0)).alias("low"), "high")
     open_ends = judged.where("high is null")
-    arms = materialize(open_ends.select("doc_id", "k1", "k2", "at", F.explode(F.filter(F.array(
+    arms = written(open_ends.select("doc_id", "k1", "k2", "at", F.explode(F.filter(F.array(
         F.struct(F.lit(True).alias("is_left"), F.col("left").alias("arm")),
         F.struct(F.lit(False).alias("is_left"), F.col("right").alias("arm"))), lambda x: x["arm"].isNotNull())).alias("x"))
         .select("doc_id", "k1", "k2", "at", "x.*"))
@@ -185,7 +185,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct("at", "is_left")
     wanted = materialize(hot_join(arms, shared, ["is_left", "arm"], "n", ["k1", "at"])
                          .groupBy("doc_id", "k1", "k2").agg(F.collect_set(place).alias("wanted")))
-    windows = materialize(_with_bodies(long, wanted).select("doc_id", "k1", "k2", "body", "wanted")
+    windows = written(_with_bodies(long, wanted).select("doc_id", "k1", "k2", "body", "wanted")
                           .mapInPandas(_windows, f"doc_id {id_type}, k1 bigint, k2 bigint, at int, window binary"))
     repeated = materialize(windows.groupBy("window").agg(*span).where("least < most"))
     matched = hot_join(windows, repeated, ["window"], "n", ["k1", "at"]).where("doc_id > least").select(
