@@ -18,9 +18,11 @@ from eligra.sources import trials as tr
 def _patient_prior(s, d):
     """Pairs with a hit: those of four trials in five are the training, the others are scored by their patient's share of positives."""
     i = Inputs(s, d)
-    pairs = la.label_pairs(i.scores("L")).pairs.select("patient_id", "trial_id", "y")
-    scored = mo.trial_prior(pairs.where("trial_id % 5 <> 0"), pairs.where("trial_id % 5 = 0"), "patient_id")
-    return rounded(scored.select("patient_id", "trial_id", "score"), "score")
+    labels = la.label_pairs(i.scores("L"))
+    trials = labels.defaults.select("trial_id")
+    # One score a patient, which the patient's blocks carry to the pairs.
+    own = mo.trial_prior(labels.beside(trials=trials.where("trial_id % 5 <> 0")), i.patients(), "patient_id").select("patient_id", "score")
+    return rounded(labels.beside(own, trials.where("trial_id % 5 = 0")).select("patient_id", "trial_id", "score"), "score")
 
 
 PATIENT_PRIOR_SQL = """
