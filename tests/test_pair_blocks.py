@@ -71,3 +71,26 @@ def test_whole_sums_round_once():
     whole = [rng.randrange(1 << 54, 1 << 61) for _ in range(20000)] + [(1 << 54) + 2, 3 * (1 << 53) + 6, 0, -(1 << 60) - 1]
     for divisor in (1, 10 ** 16):
         assert pb.nearest(np.array(whole), divisor).tolist() == [w / divisor for w in whole]
+
+
+def test_every_pair_is_spelled_out_in_its_block(spark, tables):
+    """Patients without codes and trials that ask for nothing included, and no pair goes through an exchange."""
+    crit, codes = tables
+    crit = crit.unionByName(spark.createDataFrame([(99, 0, "administrative", "UNMATCHED_", "EXISTS", None, None, True, 1.0)], CRIT))
+    labels = la.label_pairs(mt.score_pairs(crit, codes, "L"))
+    patients = spark.createDataFrame([(f"p{p}",) for p in range(45)], "patient_id string")
+    plain = la.complete_pairs(mt.PairScores(labels.pairs, labels.defaults), patients)
+    every = la.complete_pairs(labels, patients).select(*plain.columns)
+    assert every.count() == 45 * labels.defaults.count()
+    key = lambda rows: {(r.patient_id, r.trial_id): (round(r.m_inc, 9), round(r.m_exc, 9), r.y) for r in rows.collect()}
+    assert key(every) == key(plain)
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("MapInArrow")]
+
+
+def test_overlap_shuffles_no_pairs(spark, tables):
+    from eligra.operators import features as fe
+
+    crit, codes = tables
+    plan = fe.overlap_counts(codes, crit)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("MapInArrow")]
