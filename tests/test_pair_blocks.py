@@ -94,3 +94,13 @@ def test_overlap_shuffles_no_pairs(spark, tables):
     crit, codes = tables
     plan = fe.overlap_counts(codes, crit)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[:plan.index("MapInArrow")]
+
+
+def test_comorbidity_shuffles_no_pairs(spark):
+    from eligra.operators import graph as gr
+
+    dx = spark.range(60).selectExpr("id as subject_id", "explode(array('a', 'b', concat('c', id % 3))) as icd10_code")
+    edges = gr.comorbidity_edges(dx)
+    assert edges.count() == 60 * 59
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("MapInArrow")]
