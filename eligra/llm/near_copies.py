@@ -24,6 +24,8 @@ _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 COVERED = 0.8
 #: Members up to which the sets of a bucket that its hub does not connect are simply compared.
 CROWD = 16
+#: Members, and elements of their sets, of a part of a hub's members; two parts meet in a cell.
+CELL_ROWS, CELL_ELEMENTS = 4096, 1 << 22
 _RNG = np.random.default_rng(42)
 _FLIP = _RNG.integers(0, 1 << 32, (MINIMA, 1), dtype=np.uint32)
 _TIMES = _RNG.integers(0, 1 << 32, (MINIMA, 1), dtype=np.uint32) | np.uint32(1)
@@ -135,6 +137,7 @@ def apart(hub: np.ndarray, own: np.ndarray, near: bool, similar: float) -> tuple
     difference, |D(x)| + |D(y)| - 2 |D(x) & D(y)|, is a (|x| + |y|) or less. If y is not similar to the hub, |D(y)| is over a (|y| + |hub|), so
     D(x) and D(y) share elements, t(x) = (|D(x)| + a (|hub| - |x|)) / 2 at least. In one common order of elements two sets that share t of them
     share one of the first |D| - t + 1 of either. That order has those first which the hub lacks: copies of one text seldom share them by chance.
+    ``links`` does not use it: members that do share a change would meet in pairs.
     """
     novel, missing = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
     d, a = len(novel) + len(missing), (1 - similar) / (1 + similar)
@@ -152,36 +155,98 @@ def apart(hub: np.ndarray, own: np.ndarray, near: bool, similar: float) -> tuple
     return order[:first(any_partner)], first(max(far, any_partner))
 
 
-def _crowd_pairs(spokes: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
-    """Pairs (a, b) of different components that ``apart`` lets meet; spokes: hub, fp, root, near (similar to the hub)."""
-    hashes = nodes.select("fp", "text_hash")
-    placed = attach(attach(spokes, "fp", hashes, ["hub"]), "hub", hashes.select(F.col("fp").alias("hub"), F.col("text_hash").alias("hub_hash")), ["fp"])
-    placed = materialize(placed)
-    need = materialize(placed.select("text_hash").unionByName(placed.select(F.col("hub_hash").alias("text_hash"))).distinct())
-    sets = _whole_sets(need, texts, words)
-    whole = attach(attach(placed, "text_hash", sets, ["hub"]), "hub_hash", sets.select(F.col("text_hash").alias("hub_hash"), F.col("whole").alias("hub_whole")), ["fp"])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out = []
-            for hub, fp, root, near, own, other in zip(pdf["hub"], pdf["fp"], pdf["root"], pdf["near"], pdf["whole"], pdf["hub_whole"]):
-                keys, among_far = apart(np.frombuffer(other, np.uint64), np.frombuffer(own, np.uint64), near, similar)
-                if len(keys):
-                    out.append(pd.DataFrame({"hub": hub, "element": keys.view(np.int64), "fp": fp, "root": root, "near": near, "among_far": np.arange(len(keys)) < among_far}))
-            if out:
-                yield pd.concat(out)
-
-    keyed = materialize(whole.select("hub", "fp", "root", "near", "whole", "hub_whole").mapInPandas(
-        run, "hub bigint, element bigint, fp bigint, root bigint, near boolean, among_far boolean"))
-    far = keyed.where("not near")
-    both = [(far.where("among_far"), far.where("among_far"), "fp < other"), (far, keyed.where("near"), "fp <> other")]
-    found = None
-    for left, right, rule in both:
-        right = right.select("hub", "element", F.col("fp").alias("other"), F.col("root").alias("other_root"))
-        met = (left.join(right, ["hub", "element"]).where(rule).where("root <> other_root")
-               .select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
-        found = met if found is None else found.unionByName(met)
-    return found
+def _differing(last: np.ndarray, x: int) -> np.ndarray:
+    """Of how many minima the last two bits differ from those of row ``x``; rows of four 64-bit numbers."""
+    differ = last ^ last[x]
+    return np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1)
+
+
+def _likely(last: np.ndarray, size: np.ndarray, group: np.ndarray, x: int, partners: np.ndarray, similar: float) -> np.ndarray:
+    """The ``partners`` of another group that may be similar to row ``x``."""
+    small, large = np.minimum(size, size[x]), np.maximum(size, size[x])
+    return np.flatnonzero(partners & (group != group[x]) & (small >= similar * large - 1e-9) & (MINIMA - _differing(last, x) >= LEAST_EQUAL))
+
+
+class _Shared:
+    """How many elements a set shares with others of a cell, by posting lists."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sets, self.n = sets, len(sets)
+        order = np.argsort(np.concatenate(sets), kind="stable")
+        _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.who = np.repeat(np.arange(self.n), [len(s) for s in sets])[order]
+        self.ends = np.concatenate([[0], np.cumsum(counts)])
+        self.elements = np.split(inverse, np.cumsum([len(s) for s in sets])[:-1])
+
+    def counts(self, x: int, others: np.ndarray) -> np.ndarray:
+        if len(others) <= 4:
+            return np.array([len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)) for y in others.tolist()])
+        first, many = self.ends[self.elements[x]], np.diff(self.ends)[self.elements[x]]
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        return np.bincount(self.who[at], minlength=self.n)[others]
+
+
+def _cells(spokes: DataFrame, extent: DataFrame) -> DataFrame:
+    """``spokes`` dealt to cells (hub, lo, hi) in which every two members of a hub meet; ``extent``: hub, parts."""
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    return (spokes.join(extent, "hub").withColumn("part", part)
+            .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with")).drop("with", "parts"))
+
+
+def _extent(spokes: DataFrame) -> DataFrame:
+    members = F.ceil(F.count("*") / CELL_ROWS)
+    elements = F.ceil(F.sum(F.col("size").cast("long")) / CELL_ELEMENTS)
+    return materialize(spokes.groupBy("hub").agg(F.greatest(members, elements).cast("int").alias("parts")))
+
+
+def _crowd_links(spokes: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
+    """Similar pairs (a, b) that connect all similar members of a hub; spokes: hub, fp, root. Members of one root are connected.
+
+    Members meet in cells of bounded size, first by their minima; those that may be similar to one of another root then bring their
+    whole sets. A cell gives a link only where it connects two groups, so rows stay in proportion to members; comparisons do not.
+    """
+    slim = nodes.select("fp", "size", "last", "text_hash")
+    members = materialize(attach(spokes, "fp", slim, ["hub"]))
+
+    def partners(pdf: pd.DataFrame, x: int) -> np.ndarray:
+        part = pdf["part"].to_numpy()
+        there = part != part[x] if pdf["lo"].iloc[0] != pdf["hi"].iloc[0] else np.ones(len(part), bool)
+        there[:x] = False
+        return there
+
+    def sketches(pdf: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(pdf["last"]), np.uint64).reshape(len(pdf), -1)
+
+    def promising(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, size, group, hit = sketches(pdf), pdf["size"].to_numpy(), pdf["root"].to_numpy(), np.zeros(len(pdf), bool)
+        for x in range(len(pdf)):
+            found = _likely(last, size, group, x, partners(pdf, x), similar)
+            hit[found] = True
+            hit[x] |= len(found) > 0
+        return pdf.loc[hit, ["hub", "fp"]]
+
+    def connected(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, size, group, out = sketches(pdf), pdf["size"].to_numpy(), pdf["root"].to_numpy().copy(), []
+        fp, shared = pdf["fp"].to_numpy(), _Shared([np.frombuffer(w, np.uint64) for w in pdf["whole"]])
+        for x in range(len(pdf)):
+            near = _likely(last, size, group, x, partners(pdf, x), similar)
+            if len(near):
+                both = shared.counts(x, near)
+                for y in near[both >= similar * (size[x] + size[near] - both) - 1e-9].tolist():
+                    if group[x] != group[y]:
+                        out.append((min(fp[x], fp[y]), max(fp[x], fp[y])))
+                        group[group == group[y]] = group[x]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    keys, columns = ["hub", "lo", "hi"], ["part", "fp", "root", "size", "last"]
+    cells = _cells(members, _extent(members)).select(*keys, *columns)
+    chosen = materialize(cells.groupBy(*keys).applyInPandas(promising, "hub bigint, fp bigint").distinct())
+    members = materialize(members.join(chosen, ["hub", "fp"], "left_semi"))
+    sets = _whole_sets(materialize(members.select("text_hash").distinct()), texts, words)
+    whole = attach(members, "text_hash", sets, ["hub"])
+    cells = _cells(whole, _extent(members)).select(*keys, *columns, "whole")
+    return materialize(cells.groupBy(*keys).applyInPandas(connected, "a bigint, b bigint").distinct())
 
 
 def links(nodes: DataFrame, texts: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
@@ -189,8 +254,8 @@ def links(nodes: DataFrame, texts: DataFrame, words: int = 5, similar: float = 0
 
     Sets that share four minima meet in a bucket. First each is compared with the hub of its bucket, the member that shares most buckets
     with others and so stands amid its copies. In buckets whose members are not all connected by that, those of different
-    components are compared with each other: directly if there are ``CROWD`` members or fewer, else where they agree on how they differ from the
-    hub (``apart``), which loses no pair. So a crowd around one text gives rows in proportion to its members.
+    components are compared with each other: as pairs if there are ``CROWD`` members or fewer, else in cells that give only the links which
+    connect two components (``_crowd_links``). So a crowd around one text gives rows in proportion to its members.
     """
     if similar < COVERED:
         raise ValueError(f"buckets are made for a similarity of {COVERED} or more")
@@ -212,12 +277,9 @@ def links(nodes: DataFrame, texts: DataFrame, words: int = 5, similar: float = 0
     few = left.where((F.col("n") <= CROWD) & (F.col("fp") != F.col("hub"))).select("key", "fp", "root")
     rest = (few.join(few.select("key", F.col("fp").alias("other"), F.col("root").alias("other_root")), "key").where("fp < other and root <> other_root")
             .select(F.col("fp").alias("a"), F.col("other").alias("b")))
-    spokes = left.where((F.col("n") > CROWD) & (F.col("fp") != F.col("hub"))).select("hub", "fp", "root").distinct()
-    flags = first.select(F.col("a").alias("hub"), F.col("b").alias("fp"), F.lit(True).alias("near"))
-    spokes = materialize(spokes.join(flags, ["hub", "fp"], "left").withColumn("near", F.coalesce("near", F.lit(False))))
-    if not spokes.isEmpty():
-        rest = rest.unionByName(_crowd_pairs(spokes, nodes, texts, words, similar))
-    return first.unionByName(_verified(materialize(rest.distinct()), nodes, texts, words, similar))
+    linked = first.unionByName(_verified(materialize(rest.distinct()), nodes, texts, words, similar))
+    spokes = materialize(left.where((F.col("n") > CROWD) & (F.col("fp") != F.col("hub"))).select("hub", "fp", "root").distinct())
+    return linked if spokes.isEmpty() else linked.unionByName(_crowd_links(spokes, nodes, texts, words, similar))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8) -> DataFrame:

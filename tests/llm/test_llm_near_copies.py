@@ -117,3 +117,37 @@ def test_last_bits_of_minima_are_counted():
         a, b = rng.integers(0, 1 << 32, (2, 128), dtype=np.uint32)
         b = np.where(rng.random(128) < share, a, b)
         assert near_copies.equal_minima(near_copies._last_bits(a), near_copies._last_bits(b)) == int(((a & 3) == (b & 3)).sum())
+
+
+@pytest.mark.parametrize("rows", [4096, 9])
+def test_a_crowd_gives_no_more_links_than_members(spark, monkeypatch, rows):
+    """Copies around one text that are similar to few others: all pairs within a hub are tried, none of them is a row."""
+    monkeypatch.setattr(near_copies, "CELL_ROWS", rows)
+    rng = random.Random(3)
+    base, sets = [f"w{i}" for i in range(250)], {}
+    for k in range(60):
+        words = list(base)
+        for p in rng.sample(range(250), 18):
+            words[p] = f"own{k // 2}-{p}" if rng.random() < 0.9 else f"x{rng.random()}"
+        if k % 2:  # close to its predecessor, to others only through the base
+            words = previous[:-2] + ["y", f"z{k}"]
+        previous = words
+        found = near_copies.shingles(" ".join(words))
+        sets[k] = (" ".join(words), found)
+    nodes = spark.createDataFrame([(k, len(f), near_copies._last_bits(near_copies.minima(f)), k) for k, (_, f) in sets.items()],
+                                  "fp long, size int, last binary, text_hash long")
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in sets.items()], "text_hash long, text string")
+    spokes = spark.createDataFrame([(1000, k, k) for k in sets], "hub long, fp long, root long")
+    got = near_copies._crowd_links(spokes, nodes, texts, 5, 0.8).collect()
+    want = {(i, j) for i in sets for j in range(i) if near_copies.similar_enough(sets[i][1], sets[j][1], 0.8)}
+
+    def groups(pairs):
+        root = {k: k for k in sets}
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = {k: new if r == old else r for k, r in root.items()}
+        return {frozenset(k for k in root if root[k] == r) for r in root.values()}
+
+    assert len(want) >= 30 and {(r.b, r.a) for r in got} <= want
+    assert groups((r.a, r.b) for r in got) == groups(want)
+    assert rows < 4096 or len(got) < len(sets)
