@@ -1,4 +1,4 @@
-"""Near copies by the similarity of their word shingles: equal minima find candidates, the whole sets decide."""
+"""Near copies by the similarity of their word shingles: close SimHash fingerprints and equal minima find candidates, the whole sets decide."""
 
 from __future__ import annotations
 
@@ -53,6 +53,14 @@ def minima(found: np.ndarray) -> np.ndarray:
     return least
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of 64-bit values: the bits that over half of them have, as a signed number; of none: 0."""
+    ones = np.zeros(simhash.BITS, np.int64)
+    for k in range(0, len(found), simhash.PIECE):
+        ones += np.unpackbits(found[k:k + simhash.PIECE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(found)).tobytes(), "big", signed=True)
+
+
 def _last_bits(least: np.ndarray) -> bytes:
     """The last two bits of each, four to a byte."""
     two = (least & 3).astype(np.uint8).reshape(-1, 4)
@@ -71,16 +79,16 @@ def similar_enough(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
 
 
 def sketch(text: Column, words: int) -> Column:
-    """The set's hash, its size, and its minima, whole and the last two bits of each."""
+    """The set's hash, its size, its SimHash, and its minima, whole and the last two bits of each."""
 
-    @F.pandas_udf("fp long, size int, low binary, last binary")
+    @F.pandas_udf("fp long, size int, sim long, low binary, last binary")
     def of(column: pd.Series) -> pd.DataFrame:
         rows = []
         for t in column:
             found = shingles(t, words)
             least = minima(found)
-            rows.append((int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)), len(found), least.tobytes(), _last_bits(least)))
-        return pd.DataFrame(rows, columns=["fp", "size", "low", "last"])
+            rows.append((int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)), len(found), fingerprint(found), least.tobytes(), _last_bits(least)))
+        return pd.DataFrame(rows, columns=["fp", "size", "sim", "low", "last"])
 
     return of(text)
 
@@ -249,10 +257,21 @@ def _crowd_links(spokes: DataFrame, nodes: DataFrame, texts: DataFrame, words: i
     return materialize(cells.groupBy(*keys).applyInPandas(connected, "a bigint, b bigint").distinct())
 
 
+def chained(nodes: DataFrame, distance: int = 4) -> DataFrame:
+    """Pairs (a, b) of sets with close fingerprints: the least set of each, joined by ``simhash.links``, and the others of a fingerprint with it."""
+    prints = materialize(nodes.where("size > 0").groupBy("sim").agg(F.min("fp").alias("least"), F.count("*").alias("n")))
+    same = hot_join(nodes.where("size > 0").select("fp", "sim"), prints.where("n > 1"), ["sim"], "n", ["fp"]).where("fp <> least")
+    near = materialize(simhash.links(prints.select(F.col("sim").alias("fp")), distance))
+    for side, other in (("a", "b"), ("b", "a")):
+        near = attach(near, side, prints.select(F.col("sim").alias(side), F.col("least").alias(f"least_{side}")), [other])
+    return same.select(F.col("least").alias("a"), F.col("fp").alias("b")).unionByName(near.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
+
+
 def links(nodes: DataFrame, texts: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
     """Pairs (a, b) of sets that connect all those whose Jaccard similarity is ``similar`` or more, and no others.
 
-    Sets that share four minima meet in a bucket. First each is compared with the hub of its bucket, the member that shares most buckets
+    Fingerprints at 4 or fewer of 64 bits, found by chains of ring segments (``simhash.links``), give the first candidates. Sets just above the
+    similarity often lie further apart, so sets that share four minima meet in a bucket as well. There each is first compared with the hub of its bucket, the member that shares most buckets
     with others and so stands amid its copies. In buckets whose members are not all connected by that, those of different
     components are compared with each other: as pairs if there are ``CROWD`` members or fewer, else in cells that give only the links which
     connect two components (``_crowd_links``). So a crowd around one text gives rows in proportion to its members.
@@ -268,7 +287,7 @@ def links(nodes: DataFrame, texts: DataFrame, words: int = 5, similar: float = 0
     hubs = held.join(weight, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp"))["fp"].alias("hub"))
     placed = materialize(hot_join(held, hubs, ["key"], "n", ["fp"], counts=shared))
     stars = materialize(placed.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct())
-    first = _verified(stars, nodes, texts, words, similar)
+    first = _verified(materialize(stars.unionByName(chained(nodes)).distinct()), nodes, texts, words, similar)
 
     roots = components(first).withColumnRenamed("node", "fp")
     rooted = materialize(placed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
@@ -291,6 +310,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     slim = bound_batches(docs).select(F.col(id_col).alias("doc_id"), docs[text_col].alias("text"))
     rows = materialize(slim.select("doc_id", F.xxhash64(text).alias("text_hash"), sketch(text, words).alias("s")).select("doc_id", "text_hash", "s.*"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
-    nodes = materialize(rows.groupBy("fp").agg(best, *[F.min(c).alias(c) for c in ("size", "low", "last")]).withColumn("text_hash", F.col("best.text_hash")))
+    nodes = materialize(rows.groupBy("fp").agg(best, *[F.min(c).alias(c) for c in ("size", "sim", "low", "last")]).withColumn("text_hash", F.col("best.text_hash")))
     edges = links(nodes, slim.select(F.xxhash64(text).alias("text_hash"), text.alias("text")), words, similar)
     return simhash.least_rows(docs, rows, nodes.select("fp", "best"), edges, id_col, text_col)

@@ -151,3 +151,21 @@ def test_a_crowd_gives_no_more_links_than_members(spark, monkeypatch, rows):
     assert len(want) >= 30 and {(r.b, r.a) for r in got} <= want
     assert groups((r.a, r.b) for r in got) == groups(want)
     assert rows < 4096 or len(got) < len(sets)
+
+
+def test_close_fingerprints_are_candidates(spark):
+    """Chains of the SimHash find copies with a changed word; the fingerprint is the majority of the set's bits."""
+    rng, texts = random.Random(6), []
+    for i in range(30):
+        words = [f"{i}-{rng.randrange(900)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join(words[:200] + ["changed"] + words[201:])]
+    found = [near_copies.shingles(t) for t in texts]
+    for f in found[:4]:
+        bits = [sum(int(h) >> b & 1 for h in f) * 2 > len(f) for b in range(64)]
+        assert near_copies.fingerprint(f) % (1 << 64) == sum(1 << b for b in range(64) if bits[b])
+    assert near_copies.fingerprint(found[0][:0]) == 0
+    sims = [near_copies.fingerprint(f) for f in found]
+    nodes = spark.createDataFrame([(k, len(f), s) for k, (f, s) in enumerate(zip(found, sims))], "fp long, size int, sim long")
+    got = {(min(r), max(r)) for r in near_copies.chained(nodes).collect()}
+    near = {(i, j) for j in range(60) for i in range(j) if ((sims[i] ^ sims[j]) & (1 << 64) - 1).bit_count() <= 4}
+    assert got == near and len({(i, i + 1) for i in range(0, 60, 2)} & got) >= 25
