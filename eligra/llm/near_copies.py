@@ -292,7 +292,7 @@ def links(nodes: DataFrame, texts: DataFrame, words: int = 5, similar: float = 0
     roots = components(first).withColumnRenamed("node", "fp")
     rooted = materialize(placed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     mixed = materialize(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("_n")).where("lo < hi").select("key", "_n"))
-    left = materialize(hot_join(rooted, mixed, ["key"], "_n", ["fp"]))
+    left = materialize(hot_join(rooted, mixed, ["key"], "_n", ["fp"], how="left_semi"))
     few = left.where((F.col("n") <= CROWD) & (F.col("fp") != F.col("hub"))).select("key", "fp", "root")
     rest = (few.join(few.select("key", F.col("fp").alias("other"), F.col("root").alias("other_root")), "key").where("fp < other and root <> other_root")
             .select(F.col("fp").alias("a"), F.col("other").alias("b")))
