@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eligra.session import materialize, shared_folder
+from eligra.session import materialize, shared_folder, tidy
 
 #: A word is a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,7 +92,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = (large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         e = materialize(small)
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        with tidy(e.sparkSession):
+            now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before or now.n == 0:
             break
         before = now
@@ -103,7 +104,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``materialize`` as Parquet in the shared folder: rows of one text repeat its keys, which a checkpoint would spell out each time."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -120,7 +122,8 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, spread
     each part. Only these keys' hashes come to the driver.
     """
     counts = groups if counts is None else counts
-    total = counts.agg(F.sum(n)).first()[0] or 0
+    with tidy(rows.sparkSession):
+        total = counts.agg(F.sum(n)).first()[0] or 0
     limit = max(64, total // HOT)
     hot = counts.where(F.col(n) > limit).select(F.xxhash64(*keys).alias("key"), F.ceil(F.col(n) / limit).cast("int").alias("parts")).collect()
     # Known by their hash: another key of that hash is split as well, on both sides alike.
@@ -145,7 +148,8 @@ def bitmap(hashes: DataFrame, column: str):
 
     Another hash passes by chance at times, more often if there are very many; the join behind it sorts that out.
     """
-    bits = min(MOST_BITS, max(16, int(hashes.count()).bit_length() + 10))
+    with tidy(hashes.sparkSession):
+        bits = min(MOST_BITS, max(16, int(hashes.count()).bit_length() + 10))
     spots = hashes.selectExpr(f"shiftrightunsigned({column}, {64 - bits}) as spot").selectExpr(
         "cast(shiftright(spot, 3) as int) as byte", "shiftleft(1, cast(spot & 7 as int)) as bit")
     per_byte = spots.groupBy("byte").agg(F.expr("bit_or(bit)").alias("bit")).withColumn("part", F.shiftright("byte", 13))
