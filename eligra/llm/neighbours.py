@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,12 @@ from eligra.session import materialize
 
 #: Dimensions between two tests.
 STEP = 16
-#: Rows of a list, and queries of a list, in one block.
-LIST_ROWS, LIST_QUERIES = 20_000, 2_000
+#: Rows, and queries, that meet in one cell; pairs that are looked at together in it.
+LIST_ROWS, LIST_QUERIES, PAIRS = 8_192, 4_096, 1 << 20
+#: Pairs of which fewer than this share is left go on one by one, others as a matrix.
+SPARSE = 0.03
+#: A round looks through at most so many times the rows that were looked through before it.
+GROWTH = 16
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -59,32 +64,55 @@ def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(ids: np.ndarray, x: np.ndarray, lifted: np.ndarray, qid: int, q: np.ndarray, ql: np.ndarray, k: int,
-           slack: float) -> list[tuple[float, int]]:
-    """Up to ``k`` (score, id) of a block, ids ascending. A candidate is dropped as soon as its distance over the first d of D dimensions,
-    scaled to all, is above the k-th best by more than ``slack`` / sqrt(d) allows: the rotation makes that share a fair sample.
+def foremost(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best (largest score, then smallest id) of each query, by query."""
+    order = np.lexsort((ids, -score, query))
+    q = query[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return order[rank < k]
+
+
+def search(ids: np.ndarray, x: np.ndarray, lifted: np.ndarray, qids: np.ndarray, q: np.ndarray, ql: np.ndarray, best: np.ndarray, k: int,
+           slack: float, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to ``k`` (query, row, score) of each query among the rows of a list. ``best``: for each query a distance that ``k`` candidates keep
+    within, or infinity; it is lowered by what is found. A candidate is dropped as soon as its distance over the first d of D dimensions,
+    scaled to all, is above that by more than ``slack`` / sqrt(d) allows: the rotation makes that share a fair sample.
     """
-    dim = lifted.shape[1]
-    rows = np.flatnonzero(ids != qid)
-    best, found = np.inf, (np.zeros(0, int), np.zeros(0))
-    for part in [rows[:256], *[rows[i:i + 4096] for i in range(256, len(rows), 4096)]]:
-        alive, far = part, np.zeros(len(part))
-        for d in range(0, dim, STEP):
-            diff = lifted[alive, d:d + STEP] - ql[d:d + STEP]
+    dim, at_q, at_r = lifted.shape[1], None, None
+    more = 1e-12 * ((ql * ql).sum(1) + bound * bound)  # rounding of sums and products
+    far = np.where(ids[None, :] == qids[:, None], np.inf, 0.0)
+    for d in range(0, dim, STEP):
+        a, b, seen = ql[:, d:d + STEP], lifted[:, d:d + STEP], min(d + STEP, dim)
+        if at_q is not None:
+            diff = b[at_r] - a[at_q]
             far = far + (diff * diff).sum(1)
-            seen = min(d + STEP, dim)
-            if np.isfinite(best):
-                limit = best * (seen / dim) * (1 + slack / np.sqrt(seen)) ** 2 if seen < dim else best * (1 + 1e-9) + 1e-12
-                keep = far <= limit
-                alive, far = alive[keep], far[keep]
-        found = (np.concatenate([found[0], alive]), np.concatenate([found[1], far]))
-        if len(found[0]) > k:
-            best = min(best, float(np.partition(found[1], k - 1)[k - 1]))
-            keep = found[1] <= best * (1 + 1e-9) + 1e-12
-            found = (found[0][keep], found[1][keep])
-    score = inner(x[found[0]], q)
-    order = np.lexsort((ids[found[0]], -score))[:k]
-    return [(float(score[i]), int(ids[found[0][i]])) for i in order]
+        else:
+            far += a @ (-2 * b.T)
+            far += (a * a).sum(1)[:, None]
+            far += (b * b).sum(1)
+            if seen == dim and len(ids) > k and np.isinf(best).any():
+                open_ = np.flatnonzero(np.isinf(best))
+                best[open_] = np.partition(far[open_], k - 1, axis=1)[:, k - 1]
+        limit = (best * (seen / dim) * (1 + slack / np.sqrt(seen)) ** 2 if seen < dim else best * (1 + 1e-9)) + more
+        if at_q is not None:
+            keep = far <= limit[at_q]
+            at_q, at_r, far = at_q[keep], at_r[keep], far[keep]
+            continue
+        alive = (far <= limit[:, None]) & (far < np.inf)
+        if seen == dim or alive.mean() < SPARSE:
+            at_q, at_r = np.nonzero(alive)
+            far = far[at_q, at_r]
+    score = np.zeros(len(at_q))
+    for j in range(x.shape[1]):  # as in ``inner``
+        score += x[at_r, j] * q[at_q, j]
+    top_k = foremost(at_q, ids[at_r], score, k)
+    at_q, at_r, score, far = at_q[top_k], at_r[top_k], score[top_k], far[top_k]
+    count, worst = np.bincount(at_q, minlength=len(best)), np.zeros(len(best))
+    np.maximum.at(worst, at_q, far)
+    full = count == k
+    best[full] = np.minimum(best[full], worst[full])
+    return at_q, at_r, score
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
@@ -97,8 +125,12 @@ def top(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
 
     Queries are the rows whose id is a multiple of ``every``, candidates all others. Centroids are fitted on at most ``sample``
     vectors (the lowest hashes of the id), one for ``per_list`` rows and ``most_lists`` at most, so that they can be sent to every
-    task; every row is put in its list. A query probes the share ``probe`` of all lists, nearest first. Lists and their queries
-    meet in blocks of bounded size, in which candidates leave early. Scores are those of the original vectors.
+    task; every row is put in its list. The sampled vectors are a list of their own that every query looks through first: it gives ``k``
+    neighbours, and a distance beyond which no candidate counts any more. Of the other lists a query probes the share ``probe``, nearest first.
+    Lists and queries meet in cells of bounded size, in which candidates leave early and of which only those come back that beat
+    the query's k-th best so far. Where the sample is a small part of all rows, the lists take turns, each of at most ``GROWTH`` times the rows seen
+    before, so that a query gets some ``GROWTH`` times ``k`` rows back a turn at most, however many cells there are. Time still grows with queries times rows. Scores are those of
+    the original vectors.
 
     Vectors that are null, zero, of another length than the most frequent (then the smaller) one, or that hold a null or a
     component that is not finite, take no part, nor do null ids; of rows with one id the smallest vector counts. With ``k`` candidates or
@@ -117,47 +149,85 @@ def top(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     stats = good.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("norm")).first()
     lists = max(1, min(most_lists, stats.n // per_list))
     probes = max(1, round(lists * probe))
-    drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample, 64 * lists)).collect()
+    drawn = sorted((r.vec_id, r.v) for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample, max(64 * lists, 4 * k))).collect())
     bound = float(np.sqrt(stats.norm)) * (1 + 1e-12)
-    centre = centroids(lift(np.array([r.v for r in drawn]), bound), lists)
+    first_ids, first = np.array([i for i, _ in drawn], np.int64), np.array([v for _, v in drawn])
+    centre = centroids(lift(first, bound), lists)
+
+    def turned(q: np.ndarray) -> np.ndarray:
+        return np.concatenate([q, np.zeros((len(q), 1))], 1) @ rotation(dim + 1)
 
     def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            x = _matrix(pdf["v"], dim)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": nearest(lift(x, bound), centre, 1)[:, 0].astype("int32"), "v": pdf["v"]})
+            pdf = pdf[~np.isin(pdf["vec_id"].to_numpy(np.int64), first_ids)]
+            if len(pdf):
+                near = nearest(lift(_matrix(pdf["v"], dim), bound), centre, 1)[:, 0]
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": near.astype("int32"), "v": pdf["v"]})
 
     def probed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            x = _matrix(pdf["v"], dim)
-            x = np.concatenate([x, np.zeros((len(x), 1))], 1) @ rotation(dim + 1)
-            near = nearest(x, centre, probes)
-            yield pd.DataFrame({"query_id": pdf["vec_id"], "list": list(near.astype("int32"))})
+        lifted, chunk = lift(first, bound), max(1, PAIRS // len(first))
+        for whole in parts:
+            for low in range(0, len(whole), chunk):
+                pdf = whole.iloc[low:low + chunk]
+                q, qids = _matrix(pdf["v"], dim), pdf["vec_id"].to_numpy(np.int64)
+                ql = turned(q)
+                asks = np.zeros((len(q), lists), bool)
+                np.put_along_axis(asks, nearest(ql, centre, probes), True, 1)
+                at, row, score = search(first_ids, first, lifted, qids, q, ql, np.full(len(q), np.inf), k, slack, bound)
+                ends = np.cumsum(np.bincount(at, minlength=len(q)))[:-1]
+                yield pd.DataFrame({"query_id": qids, "q": pdf["v"].to_numpy(), "asks": [a.tobytes() for a in np.packbits(asks, axis=1)],
+                                    "ids": np.split(first_ids[row], ends), "scores": np.split(score, ends)})
 
     rows = materialize(good.mapInPandas(placed, "vec_id bigint, list int, v array<double>"))
-    asked = good.where(F.col("vec_id") % every == 0)
-    probes_of = asked.mapInPandas(probed, "query_id bigint, list array<int>").select("query_id", F.explode("list").alias("list"))
-    probes_of = probes_of.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    # Blocks: a list of many rows is cut by hash of the id, its queries too; each part of one meets each part of the other.
-    per = rows.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("row_parts"))
-    queries_per = probes_of.groupBy("list").agg(F.ceil(F.count("*") / LIST_QUERIES).cast("int").alias("query_parts"))
-    parts = materialize(per.join(queries_per, "list"))
-    left = (rows.join(parts, "list").withColumn("row_part", F.pmod(F.xxhash64("vec_id"), F.col("row_parts")).cast("int"))
-            .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1))).select("list", "row_part", "query_part", "vec_id", "v"))
-    right = (probes_of.join(parts, "list").withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.col("query_parts")).cast("int"))
-             .withColumn("row_part", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1))).select("list", "row_part", "query_part", "query_id", "q"))
+    asked = materialize(good.where(F.col("vec_id") % every == 0).mapInPandas(
+        probed, "query_id bigint, q array<double>, asks binary, ids array<bigint>, scores array<double>"))
+    found = asked.select("query_id", F.inline(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))))
+    # Cells: lists are put together in bins, a bin of many rows is cut by hash of the id, and so are the queries.
+    bins = max(1, min(lists, math.ceil((stats.n - len(drawn)) / LIST_ROWS)))
+    query_parts = max(1, math.ceil(asked.count() / LIST_QUERIES))
+    rows = rows.withColumn("bin", F.pmod("list", F.lit(bins)).cast("int"))
+    per = materialize(rows.groupBy("bin").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("row_parts"), F.count("*").alias("n")))
 
     def block(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        if have.empty or want.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        have = have.sort_values("vec_id")
-        ids, x = have["vec_id"].to_numpy(), _matrix(have["v"], dim)
-        lifted = lift(x, bound)
-        q = _matrix(want["q"], dim)
-        ql = np.concatenate([q, np.zeros((len(q), 1))], 1) @ rotation(dim + 1)
-        got = [(int(i), c, s) for i, a, b in zip(want["query_id"], q, ql) for s, c in search(ids, x, lifted, int(i), a, b, k, slack)]
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
-
-    keys = ["list", "row_part", "query_part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, out)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        none = np.zeros(0, np.int64)
+        out_q, out_id, out_score = [none], [none], [np.zeros(0)]
+        if len(have) and len(want):
+            have = have.sort_values(["list", "vec_id"])
+            ids, x, lists_of = have["vec_id"].to_numpy(np.int64), _matrix(have["v"], dim), have["list"].to_numpy()
+            lifted, q, qids = lift(x, bound), _matrix(want["q"], dim), want["query_id"].to_numpy(np.int64)
+            ql, asks = turned(q), np.unpackbits(np.frombuffer(b"".join(want["asks"]), np.uint8).reshape(len(q), -1), axis=1)
+            least = want["least"].to_numpy(np.float64)
+            best = np.where(np.isnan(least), np.inf, (ql * ql).sum(1) + bound * bound - 2 * least)
+            best = np.maximum(best, 0.0)
+            cut = [0, *(np.flatnonzero(lists_of[1:] != lists_of[:-1]) + 1).tolist(), len(ids)]
+            for lo, hi in zip(cut, cut[1:]):
+                asking = np.flatnonzero(asks[:, lists_of[lo]])
+                for part in np.array_split(asking, math.ceil(len(asking) * (hi - lo) / PAIRS)) if len(asking) else []:
+                    now = best[part]
+                    at, row, score = search(ids[lo:hi], x[lo:hi], lifted[lo:hi], qids[part], q[part], ql[part], now, k, slack, bound)
+                    best[part] = now
+                    out_q.append(part[at]), out_id.append(ids[lo:hi][row]), out_score.append(score)
+        got_q, got_id, got = np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_score)
+        keep = foremost(got_q, got_id, got, k)
+        return pd.DataFrame({"query_id": qids[got_q[keep]] if len(keep) else none, "vec_id": got_id[keep], "score": got[keep]})
+
+    keys, order = ["bin", "row_part", "query_part"], Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    sizes = sorted((r.bin, r.n) for r in per.collect())  # a bin holds a list at least: 2,048 of them at most
+    seen, low = len(drawn), 0
+    while low < len(sizes):
+        high, more = low, 0
+        while high < len(sizes) and (high == low or more + sizes[high][1] <= GROWTH * seen):
+            more, high = more + sizes[high][1], high + 1
+        turn = per.where(F.col("bin").between(sizes[low][0], sizes[high - 1][0])).drop("n")
+        left = (rows.join(F.broadcast(turn), "bin").withColumn("row_part", F.pmod(F.xxhash64("vec_id"), F.col("row_parts")).cast("int"))
+                .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))).select(*keys, "vec_id", "list", "v"))
+        least = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        right = (asked.join(least, "query_id", "left").withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int"))
+                 .crossJoin(F.broadcast(turn)).withColumn("row_part", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1)))
+                 .select(*keys, "query_id", "q", "asks", "least"))
+        came = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, out)
+        found = (found.unionByName(came).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "score"))
+        seen, low = seen + more, high
+        if low < len(sizes):
+            found = materialize(found)
+    return found.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")

@@ -62,3 +62,29 @@ def test_vectors_that_take_no_part(spark):
     assert sorted(map(tuple, got)) == [(0, 1, 1, 2.0), (0, 2, 20, 0.5), (20, 1, 1, 1.5), (20, 2, 0, 0.5)]
     assert nn.top(spark.createDataFrame(rows[2:4], "vec_id long, embedding array<float>")).count() == 0
     assert nn.top(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_turns_are_exact_and_few_rows_come_back(spark, data, monkeypatch):
+    """The first list bounds what cells give back: rows follow the queries, not queries times lists."""
+    monkeypatch.setattr(nn, "LIST_ROWS", 100)
+    ids, x = data
+    came = []
+    monkeypatch.setattr(nn, "GROWTH", 1)  # several turns
+    want = plain(ids, x, 20, 20)
+    got = {}
+    for r in sorted(nn.top(frame(spark, ids, x), per_list=50, probe=1.0, slack=50.0).collect()):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+    lifted, q = nn.lift(x, 20.0), x[:400:20]
+    ql = np.concatenate([q, np.zeros((len(q), 1))], 1) @ nn.rotation(25)
+    least = np.array([want[i][-1][1] for i in range(0, 400, 20)])
+    best = (q * q).sum(1) + 400.0 - 2 * least
+    for lo in range(0, 3000, 500):
+        part = slice(lo, lo + 500)
+        came.append(len(nn.search(np.arange(3000)[part], x[part], lifted[part], np.arange(0, 400, 20), q, ql, best.copy(), 20, 50.0, 20.0)[0]))
+    ties = sum(sum(s == t for s in nn.inner(x, v)) for v, t in zip(q, least))
+    assert sum(came) <= 20 * len(q) + ties < 6 * 20 * len(q)
+
+
+def test_no_query_at_all(spark):
+    assert nn.top(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1, 15)], "vec_id long, embedding array<float>")).count() == 0
