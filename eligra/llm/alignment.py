@@ -20,6 +20,8 @@ from eligra.session import materialize
 
 #: Distinct pairs and documents after which a task closes a block.
 PAIRS, DOCS = 200_000, 4_000
+#: Words whose tokens A remembers; the tokenizer's own 10,000 are soon full.
+WORDS = 50_000
 #: Tasks that add up vectors, one result each.
 ADDERS = 16
 
@@ -42,6 +44,10 @@ def piece_bytes(piece: str, is_byte: bool) -> bytes:
     return bytes([int(piece[3:-1], 16)]) if is_byte else piece.replace("▁", " ").encode()
 
 
+#: After an id of A, the last of A in its group, an id of B, the last of a group.
+MARKS = (",", "|", ",", ";")
+
+
 class Pair:
     """Both tokenizers with the bytes of their entries. Made from the files' content, so that tasks need no path."""
 
@@ -54,6 +60,7 @@ class Pair:
         self.level.encode_special_tokens = True
         self.level.no_padding()
         self.level.no_truncation()
+        self.level.model._resize_cache(WORDS)
         self.piece = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         special = {t["id"]: t["content"].encode() for t in json.loads(level_json)["added_tokens"]}
         by_id = {i: entry for entry, i in self.level.get_vocab(with_added_tokens=True).items()}
@@ -65,6 +72,17 @@ class Pair:
         same = {self.b[i]: i for i in order if self.b[i]}
         #: The id of B with the same bytes as each id of A, or -1.
         self.identity = np.array([same.get(x, -1) if x else -1 for x in self.a], np.int64)
+        #: What stands for an id and its mark in a text's groups, by 4 * id + mark; made when first met.
+        self.names: list[bytes | None] = [None] * (4 * max(len(self.a), len(self.b)))
+        self.named = np.zeros(len(self.names), bool)
+
+    def name(self, code: np.ndarray) -> None:
+        """Make the missing names of ``code``."""
+        met = np.zeros(len(self.named), bool)
+        met[code] = True
+        for c in np.flatnonzero(met & ~self.named).tolist():
+            self.names[c] = f"{c >> 2}{MARKS[c & 3]}".encode()
+        self.named |= met
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B of each text; none where their bytes are not a space and the text."""
@@ -81,6 +99,7 @@ class Links:
     """Groups and links of a batch of texts, worked out as arrays over all its tokens."""
 
     def __init__(self, pair: Pair, texts: list[str]):
+        self.pair = pair
         left, right = pair.encode(texts)
         self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right))
         self.a, self.b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((left, self.n_a), (right, self.n_b)))
@@ -118,19 +137,20 @@ class Links:
         code = np.empty(len(self.a) + len(self.b), np.int64)
         code[np.arange(len(self.a)) + (np.cumsum(in_b) - in_b)[self.group_a]] = self.a * 4 + self.last_a
         code[np.arange(len(self.b)) + np.cumsum(in_a)[self.group_b]] = self.b * 4 + 2 + self.last_b
-        mark, out, at = (",", "|", ",", ";"), [], 0
-        names = {c: f"{c >> 2}{mark[c & 3]}".encode() for c in np.unique(code).tolist()}
+        self.pair.name(code)
+        names, out, at = self.pair.names.__getitem__, [], 0
         for n in (self.n_a + self.n_b).tolist():
-            out.append(hashlib.sha256(b"".join(map(names.__getitem__, code[at:at + n].tolist()))[:-1]).hexdigest() if n else "")
+            out.append(hashlib.sha256(b"".join(map(names, code[at:at + n].tolist()))[:-1]).hexdigest() if n else "")
             at += n
         return out
 
 
-def _counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (doc, key), in order, and how often each occurs."""
-    keys, at = np.unique(key, return_inverse=True)
-    both, n = np.unique(doc * max(1, len(keys)) + at, return_counts=True)
-    return both // max(1, len(keys)), keys[both % max(1, len(keys))], n
+def _counted(doc: np.ndarray, key: np.ndarray, size: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (doc, key), in order, and how often each occurs; ``size``: keys are below it, 0: not known."""
+    keys, at = (None, key) if size else np.unique(key, return_inverse=True)
+    size = size or max(1, len(keys))
+    both, n = np.unique(doc * size + at, return_counts=True)
+    return both // size, both % size if keys is None else keys[both % size], n
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -176,7 +196,7 @@ def _linked(files, id_type: pa.DataType):
                        n_a=links.n_a, n_b=links.n_b, n_groups=links.n_groups, n_links=links.n_links, groups_sha256=links.digests())
             vector += np.bincount(links.x[links.regular], minlength=len(vector))
             other = ~links.regular
-            doc_r, a_r, n_r = _counted(links.doc[links.regular] + place, links.x[links.regular])
+            doc_r, a_r, n_r = _counted(links.doc[links.regular] + place, links.x[links.regular], len(pair.a))
             doc_o, key_o, n_o = _counted(links.doc[other] + place, (links.x[other] << 32) | links.y[other])
             yield rows(1, kind=[1], block=[block], blob=[_packed(doc_r, a_r, n_r, doc_o, key_o, n_o)])
             keys, at = np.unique(key_o, return_inverse=True)

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from eligra.llm import alignment as al
@@ -81,3 +82,15 @@ def test_empty_table_and_ids_of_another_type(spark):
     assert al.align(spark.createDataFrame([], "doc_id long, text string"), LEVEL, PIECE).count() == 0
     got = al.align(spark.createDataFrame([("x", "one two"), (None, None)], "doc_id string, text string"), LEVEL, PIECE).collect()
     assert {r.doc_id: r.n_groups > 0 for r in got} == {"x": True, None: False}
+
+
+def test_names_are_made_once_and_counts_need_no_table_of_keys(pair):
+    text = "one two three, Über 日本語"
+    first = al.Links(pair, [text, "", "two"]).digests()
+    made = list(pair.names)
+    assert al.Links(pair, [text]).digests() == first[:1] and first[1] == ""
+    assert all(x is y for x, y in zip(made, pair.names)) and 0 < sum(x is not None for x in made) == pair.named.sum()
+    rng = np.random.default_rng(1)
+    doc, key = np.sort(rng.integers(0, 9, 500)), rng.integers(0, 40, 500)
+    for x, y in zip(al._counted(doc, key), al._counted(doc, key, 40)):
+        assert x.tolist() == y.tolist()
